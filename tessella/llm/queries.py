@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import licenses, mixing
+from pyspark.sql import functions as F
+
+from tessella.llm import chat, decontamination, licenses, mixing
 from tessella.session import table
 
 
@@ -12,10 +14,21 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontamination.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)))
+
+
 def _license_sql() -> str:
     pairs = ", ".join(f"({i}, '{label}', {str(base).lower()}, {len(w) - 1}, {p}, '{w[p]}', '{w[p + 1]}')" for i, label, base, w in licenses.templates() for p in range(len(w) - 1))
     return f"""
@@ -55,11 +68,41 @@ b as (select d.doc_id, d.size, t.source_size, t.target, case when t.source_size
 select doc_id, size, source_size, target, (size * epochs + least(size, greatest(0, round(target)::bigint - epochs * source_size - before)))::bigint as taken from b
 """
 
+_DECONTAMINATION_SQL = r"""
+with dw as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+iw as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+ik as (select item_id, w, least(len(w), 13) as k from iw where len(w) > 0),
+win as (select distinct item_id, k, array_to_string(w[p + 1:p + k], ' ') as g from (select item_id, w, k, unnest(range(0, len(w) - k + 1)) as p from ik)),
+dg as (select r, p, k, array_to_string(w[p + 1:p + k], ' ') as g from (select r, w, k, unnest(range(0, greatest(len(w) - k + 1, 0))) as p from dw cross join (select distinct k from ik))),
+hit as (select r, p, dg.k, item_id from dg join win on dg.k = win.k and dg.g = win.g),
+hw as (select r, count(distinct x) as n from (select r, unnest(range(p, p + k)) as x from hit) group by r),
+hi as (select r, count(distinct item_id) as n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(hw.n, 0)::bigint as n_hit, coalesce(hi.n, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(hw.n, 0) > 0 and 20 * coalesce(hw.n, 0) >= len(w) as contaminated
+from dw left join hw using (r) left join hi using (r)
+"""
+
+_CHAT_SQL = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (select *, length(role || text)
+    + length(regexp_replace(role || chr(10) || text, '\\|<turn>|<says>|</turn>|### Assistant:|### User:|### System:', '\0#', 'g')) - length(role || chr(10) || text) + 19 as chars from c)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role)) as turns_sha256,
+  coalesce(sum(case when role = 'assistant' then length(text) end), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role), '')) as loss_sha256,
+  sum(chars)::bigint as formatted_chars
+from e group by conv_id
+"""
+
 QUERIES = {
     "op3_license_scan": op3_license_scan,
+    "op5_decontamination": op5_decontamination,
     "op9_mixing": op9_mixing,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL = {
     "op3_license_scan": _license_sql(),
+    "op5_decontamination": _DECONTAMINATION_SQL,
     "op9_mixing": _MIXING_SQL,
+    "op10_chat_format": _CHAT_SQL,
 }
