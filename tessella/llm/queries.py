@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontamination, licenses, mixing
+from tessella.llm import chat, decontamination, licenses, mixing, simhash
 from tessella.session import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ from e group by conv_id
 """
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_license_scan": op3_license_scan,
     "op5_decontamination": op5_decontamination,
     "op9_mixing": op9_mixing,
