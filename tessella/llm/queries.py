@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontamination, language, licenses, mixing, simhash, toxicity
+from tessella.llm import chat, decontamination, language, licenses, mixing, pii, simhash, toxicity
 from tessella.session import table
 
 
@@ -34,6 +34,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -115,6 +119,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
+    "op7_pii": op7_pii,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
 }
