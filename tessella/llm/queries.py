@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontamination, language, licenses, mixing, pii, simhash, toxicity
+import corpus_pipeline
+from tessella.llm import chat, decontamination, embeddings, language, licenses, mixing, pii, simhash, substrings, toxicity
 from tessella.session import table
 
 
@@ -24,6 +24,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontamination.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -38,6 +42,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return cut.select("doc_id", "n_units", "n_removed", spans.alias("removed_spans"), "text")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -117,11 +127,14 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op3_license_scan": op3_license_scan,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_pii": op7_pii,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op3_license_scan": _license_sql(),
