@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple = ()
+from tessella.plans import panel_queries  # noqa: E402
+
+MODULES = (panel_queries,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
