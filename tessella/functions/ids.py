@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def signed_id(text: Column) -> Column:
-    """Decimal text (20 digits at most, folded by two's complement) or hexadecimal text as a signed long; else null."""
+    """Decimal text (20 digits at most, folded by two's complement) or hexadecimal text as a signed long; else null.
+
+    Fifteen hexadecimal digits of which the first is 8 are a cell id, even if all of them are decimal.
+    """
     t = F.lower(F.trim(text.cast("string")))
     fold = F.lit("18446744073709551616").cast("decimal(20,0)")
     decimal = t.cast("decimal(20,0)")
@@ -15,7 +18,7 @@ def signed_id(text: Column) -> Column:
     bare = F.regexp_replace(t, "^0x", "")
     unsigned = F.conv(bare, 16, 10).cast("decimal(20,0)")
     from_hex = F.when(unsigned > F.lit(2**63 - 1), unsigned - fold).otherwise(unsigned)
-    return F.when(t.rlike("^-?[0-9]{1,19}$") | t.rlike("^[0-9]{20}$"), folded.cast("long")).when(t.rlike("^(0x)?[0-9a-f]{1,16}$"), from_hex.cast("long"))
+    return F.when(t.rlike("^8[0-9a-f]{14}$"), from_hex.cast("long")).when(t.rlike("^-?[0-9]{1,19}$") | t.rlike("^[0-9]{20}$"), folded.cast("long")).when(t.rlike("^(0x)?[0-9a-f]{1,16}$"), from_hex.cast("long"))
 
 
 def hex_text(cell: Column) -> Column:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-from tessella.plans import panel_queries, reshape_queries  # noqa: E402
+from tessella.plans import data_queries, panel_queries, reshape_queries  # noqa: E402
 
-MODULES = (panel_queries, reshape_queries)
+MODULES = (panel_queries, reshape_queries, data_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
