@@ -56,14 +56,14 @@ class VersionedTable:
 
     def _fs(self):
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        pointer = hadoop.Path(f"{self.path}/_current")
+        pointer = hadoop.Path(f"{self.path}/CURRENT")
         return hadoop, pointer, pointer.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def read(self) -> DataFrame | None:
         _, pointer, fs = self._fs()
         if not fs.exists(pointer):
             return None
-        version = self.spark.read.text(f"{self.path}/_current").first()[0]
+        version = self.spark.read.text(f"{self.path}/CURRENT").first()[0]
         return self.spark.read.parquet(f"{self.path}/{version}")
 
     def replace(self, df: DataFrame, partition_by: list[str] = ()) -> None:
