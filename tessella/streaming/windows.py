@@ -23,14 +23,16 @@ def deduplicated(events: DataFrame, key: str, ts: str, late_days: int) -> DataFr
     return events.withWatermark(ts, f"{late_days} days").dropDuplicatesWithinWatermark([key])
 
 
-def tumbling_steps(events: DataFrame, ts: str, keys: list[str], value: str, late_days: int, right_closed: bool = False) -> DataFrame:
+def tumbling_steps(events: DataFrame, ts: str, keys: list[str], value: str, late_days: int | None, right_closed: bool = False) -> DataFrame:
     """(keys, date, n, total) of each 14-day step of the grid that begins at 2000-01-01.
 
+    late_days is the watermark; None for a frame that has one already.
+
     Windows are closed on the left and named by their start; right_closed moves events by a microsecond and names windows by
     their end, as the panel's binning does.
     """
     moved = events.withColumn(ts, F.col(ts) - F.expr("interval 1 microsecond")) if right_closed else events
-    marked = moved if events.isStreaming is False else moved.withWatermark(ts, f"{late_days} days")
+    marked = moved.withWatermark(ts, f"{late_days} days") if events.isStreaming and late_days is not None else moved
     w = F.window(ts, f"{GRID_DAYS} days", f"{GRID_DAYS} days", f"{GRID_OFFSET_DAYS} days")
     date = F.col("w.end" if right_closed else "w.start").cast("date").alias("date")
     return marked.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(*keys, date, "n", "total")
