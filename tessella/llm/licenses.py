@@ -48,7 +48,7 @@ def license_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), coverage
 
     All word pairs of the texts, hashed, are joined with the templates' places (broadcast: their number is fixed). Hits vote
     for (row, template, place in the text - place in the template); a phrase needs every pair on one diagonal, a notice the
-    given share of its pairs on diagonals that neighbour each other.
+    given share of its pairs on diagonals that neighbour each other. Places met are bits of a long: a template has 64 pairs at most.
     """
     rows = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), words_of().alias("_words"))
     pairs = rows.select("_row", *keep, F.size("_words").cast("long").alias("n_words"), F.posexplode_outer(F.arrays_zip(F.col("_words").alias("w0"), F.expr("slice(_words, 2, greatest(size(_words), 1))").alias("w1"))).alias("_pos", "_pair"))
@@ -56,11 +56,11 @@ def license_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), coverage
     met = (F.xxhash64("_pair.w0", "_pair.w1") == t["_hash"]) & (F.col("_pair.w0") == t["_t0"]) & (F.col("_pair.w1") == t["_t1"])
     hits = pairs.join(t, met, "left").where("_template is not null or _pos is null or _pos = n_words - 1")
     by_row = ["_row", *keep, "n_words", "_template", "_label", "_base", "_pairs"]
-    diagonals = hits.groupBy(*by_row, (F.col("_pos") - F.col("_place")).alias("_diagonal")).agg(F.count("_place").alias("_votes"), F.min("_pos").alias("_start"))
+    diagonals = hits.groupBy(*by_row, (F.col("_pos") - F.col("_place")).alias("_diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, _place)")).alias("_places"), F.min("_pos").alias("_start"))
     w = Window.partitionBy("_row", "_template").orderBy("_diagonal")
     far = F.col("_diagonal") - F.lag("_diagonal").over(w) > F.when(F.col("_base"), 0).otherwise(drift)
-    merged = diagonals.withColumn("_group", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(w)).groupBy(*by_row, "_group").agg(F.sum("_votes").alias("votes"), F.min("_start").alias("start"))
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("_pairs"))
+    merged = diagonals.withColumn("_group", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(w)).groupBy(*by_row, "_group").agg(F.bit_count(F.bit_or("_places")).cast("long").alias("votes"), F.min("_start").alias("start"))
+    share = F.col("votes") / F.col("_pairs")
     enough = F.col("_template").isNull() | F.when(F.col("_base"), F.col("votes") == F.col("_pairs")).otherwise(share >= coverage)
     return merged.where(enough).select("_row", *keep, "n_words", F.col("_label").alias("label"), F.col("_base").alias("base"), F.col("start").cast("long").alias("start"), "votes", share.alias("share"))
 

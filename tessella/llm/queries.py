@@ -66,17 +66,17 @@ def _license_sql() -> str:
             list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as words
           from documents),
     p as (select row_id, unnest(range(0, greatest(len(words) - 1, 0))) as pos, words from d),
-    h as (select row_id, template, label, base, pairs, pos - place as diagonal, count(*) as votes, min(pos) as start
+    h as (select row_id, template, label, base, pairs, pos - place as diagonal, bit_or(1::bigint << place) as places, min(pos) as start
           from (select row_id, pos, words[pos + 1] as w0, words[pos + 2] as w1 from p) g join t on w0 = t0 and w1 = t1 group by all),
     m as (select *, sum(case when diagonal - before <= (case when base then 0 else {licenses.DRIFT} end) then 0 else 1 end) over (partition by row_id, template order by diagonal) as grp
           from (select *, lag(diagonal) over (partition by row_id, template order by diagonal) as before from h) x),
-    s as (select row_id, label, base, pairs, sum(votes) as votes, min(start) as start from m group by row_id, template, label, base, pairs, grp),
-    v as (select * from s where case when base then votes = pairs else least(1.0, votes / pairs) >= {licenses.COVERAGE} end)
+    s as (select row_id, label, base, pairs, bit_count(bit_or(places)) as votes, min(start) as start from m group by row_id, template, label, base, pairs, grp),
+    v as (select * from s where case when base then votes = pairs else votes / pairs >= {licenses.COVERAGE} end)
     select d.doc_id, len(any_value(d.words))::bigint as n_words, count(case when v.base then 1 end)::bigint as n_base,
       min(case when v.base then v.start end)::bigint as first_word, max(case when v.base then v.start end)::bigint as last_word,
       coalesce(string_agg(distinct case when v.base then v.label end, ',' order by case when v.base then v.label end), '') as base_labels,
       coalesce(string_agg(distinct v.label, ',' order by v.label), '') as labels,
-      round(coalesce(max(least(1.0::double, v.votes::double / v.pairs)), 0.0::double), 6) as score
+      round(coalesce(max(v.votes::double / v.pairs), 0.0::double), 6) as score
     from d left join v using (row_id) group by d.row_id, d.doc_id
     """
 
