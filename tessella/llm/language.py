@@ -134,12 +134,10 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
     """docs with lang_pred and score, from the whole text alone."""
     docs = docs.drop("lang_pred", "score")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in batches:
-            found = [model.predict(t.as_py()) for t in b["text"]]
+            found = [trees.predict(t.as_py()) for t in b["text"]]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -28,7 +28,7 @@ FEATURES = 300
 MIN_DOCS = 3
 #: Prefix lengths in bytes; 0 is the whole word.
 PREFIXES = (0, 4, 5, 6)
-THRESHOLD = 0.5
+THRESHOLD = 0.35
 BATCH_ROWS = 400
 _runs = re.compile(r"([^\w\s])\1{1,}")
 
@@ -157,7 +157,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: i
             probability = F.lit(float(truth == {1}))
             rows_ = rows_.withColumn("x", F.concat("x", F.array(probability)))
             continue
-        learner = LogisticRegression(maxIter=60, regParam=1e-3, featuresCol="features", labelCol="label", probabilityCol="p")
+        learner = LogisticRegression(maxIter=60, regParam=1e-4, featuresCol="features", labelCol="label", probabilityCol="p")
         model = learner.fit(data)
         chain.weights.append(model.coefficients.toArray())
         chain.biases.append(float(model.intercept))
@@ -178,13 +178,11 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """docs with p_<category>, from the whole text; columns that clash are replaced."""
     docs = docs.drop(*[f"p_{name}" for name in chain.names])
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in batches:
-            p = [model.probabilities(t.as_py()) for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([x[i] for x in p], pa.float64()) for i in range(len(model.names))]], [*b.schema.names, *[f"p_{name}" for name in model.names]])
+            p = [chain.probabilities(t.as_py()) for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([x[i] for x in p], pa.float64()) for i in range(len(chain.names))]], [*b.schema.names, *[f"p_{name}" for name in chain.names]])
 
     return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, *[T.StructField(f"p_{name}", T.DoubleType()) for name in chain.names]]))
 
