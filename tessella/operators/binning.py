@@ -17,7 +17,7 @@ def bin_right_closed(date: Column, anchor: str, days: int, n_steps: int, include
     """
     i = F.ceil(F.datediff(date, _day(anchor)) / days)
     if include_lowest:
-        i = F.when(i == 0, 1).otherwise(i)
+        i = F.when(date == _day(anchor), 1).otherwise(i)
     return F.when(i.between(1, n_steps - 1), F.date_add(_day(anchor), (i * days).cast("int")))
 
 

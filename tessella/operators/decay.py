@@ -29,12 +29,17 @@ def decay_fold(df: DataFrame, c: str, out: str, alpha: float, cell: str = "cell"
     return df.join(states, [cell, date])
 
 
+def fits_window(alpha: float, max_steps: int) -> bool:
+    """Whether the powers of the closed form stay inside the double range."""
+    return max_steps * abs(math.log2(1 - alpha)) <= 1000
+
+
 def decay_window(df: DataFrame, c: str, out: str, alpha: float, w: WindowSpec, max_steps: int) -> DataFrame:
     """The same state by window functions alone, without a second shuffle; for series up to max_steps.
 
-    y(i) = (1 - alpha)^i (x(0) + sum over j > 0 of alpha x(j) (1 - alpha)^-j). The powers must stay inside the double range.
+    y(i) = (1 - alpha)^i (x(0) + sum over j > 0 of alpha x(j) (1 - alpha)^-j).
     """
-    if max_steps * abs(math.log2(1 - alpha)) > 1000:
+    if not fits_window(alpha, max_steps):
         raise ValueError("series too long for the closed form; use decay_fold")
     x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     df = df.withColumn("_i", F.row_number().over(w) - 1)

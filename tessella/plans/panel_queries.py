@@ -53,7 +53,7 @@ def _binned(spark: SparkSession, sf_dir: str, label) -> DataFrame:
     return orders.groupBy("step").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
-_RIGHT = "select case when i between 1 and {n} then date '1995-02-05' + i * 14 end as step, count(*) as n, min(o_orderkey) as first_key from (select o_orderkey, {i} as i from (select o_orderkey, ceil((o_orderdate::date - date '1995-02-05') / 14.0)::int as j from orders) a) b group by 1"
+_RIGHT = "select case when i between 1 and {n} then date '1995-02-05' + i * 14 end as step, count(*) as n, min(o_orderkey) as first_key from (select o_orderkey, {i} as i from (select o_orderkey, o_orderdate::date as d, ceil((o_orderdate::date - date '1995-02-05') / 14.0)::int as j from orders) a) b group by 1"
 
 
 @query("bin_right_closed", _RIGHT.format(n=99, i="j"))
@@ -61,7 +61,7 @@ def bin_right_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _binned(spark, sf_dir, lambda d: B.bin_right_closed(d, "1995-02-05", 14, 100))
 
 
-@query("bin_right_closed_incl", _RIGHT.format(n=99, i="case when j = 0 then 1 else j end"))
+@query("bin_right_closed_incl", _RIGHT.format(n=99, i="case when d = date '1995-02-05' then 1 else j end"))
 def bin_right_closed_incl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _binned(spark, sf_dir, lambda d: B.bin_right_closed(d, "1995-02-05", 14, 100, include_lowest=True))
 
