@@ -76,3 +76,17 @@ def prerequisites(spark: SparkSession, needs: dict[str, list[str]], tables: dict
 
 def all_checks(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
+
+
+def structural_flags(df: DataFrame, flags: list[str], date: str = "date") -> DataFrame:
+    """(flag, share, first_date) of 0/1 columns: how often each is 1, and since when."""
+    rows = [df.agg(F.lit(f).alias("flag"), F.avg((F.col(f) == 1).cast("int")).alias("share"), F.min(F.when(F.col(f) == 1, F.col(date))).alias("first_date")) for f in flags]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def selected_columns(columns: list[str], include: list[str] = (), exclude: list[str] = (), pattern: str | None = None) -> list[str]:
+    """The columns that are included (all, if none is named), match the pattern, and are not excluded."""
+    import re
+
+    chosen = [c for c in columns if c in include] if include else list(columns)
+    return [c for c in chosen if c not in exclude and (pattern is None or re.search(pattern, c))]

@@ -63,3 +63,8 @@ def post_process(df: DataFrame, most_log: float = 500.0, most_upper: float = 100
     """From the log scale: predicted, lower and upper back by expm1, clipped; risk_score is the upper bound."""
     back = lambda c, most: F.least(F.lit(most), F.greatest(F.lit(0.0), F.expm1(F.least(F.col(c), F.lit(700.0)))))
     return df.withColumns({"predicted": back("predicted", most_log), "lower": back("lower", most_upper), "upper": back("upper", most_upper)}).withColumn("risk_score", F.col("upper"))
+
+
+def marginal(df: DataFrame, truth: str, predicted: str, alpha: float = 0.1) -> DataFrame:
+    """The baseline without bins: one quantile for all rows."""
+    return fit(df, truth, predicted, [float("-inf")], alpha)

@@ -98,3 +98,24 @@ def importance_share(importance: DataFrame, pattern: str) -> DataFrame:
 def topic_impact(long: DataFrame, topic: str, predicted: str, more_than: int = 5) -> DataFrame:
     """(topic, n, mean prediction) of the topics with more than so many rows."""
     return long.groupBy(topic).agg(F.count("*").alias("n"), F.avg(predicted).alias("mean_prediction")).where(F.col("n") > more_than)
+
+
+def stability_selection(df: DataFrame, features: list[str], target: str, rounds: int = 10, share: float = 0.5, keep: float = 0.7, seed: int = 42) -> dict[str, float]:
+    """Features that beat a random shadow feature in at least `keep` of the rounds, with how often they did.
+
+    Each round fits a logistic model on a hash half of the rows, standardised, with a shadow column of hash noise; a feature
+    beats it by the size of its weight. Rounds are Spark ML fits; only weights reach the driver.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    wins = dict.fromkeys(features, 0)
+    key = F.xxhash64(*features, target)
+    for r in range(rounds):
+        rows = df.fillna(0.0, features).withColumns({"_shadow": F.pmod(F.xxhash64(key, F.lit(seed + r)), F.lit(10_000)) / 10_000.0, "_part": F.pmod(F.xxhash64(key, F.lit(-seed - r)), F.lit(1_000)) / 1_000.0}).where(F.col("_part") < share)
+        x = VectorAssembler(inputCols=[*features, "_shadow"], outputCol="_raw", handleInvalid="skip").transform(rows)
+        x = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(x).transform(x)
+        weights = LogisticRegression(featuresCol="_x", labelCol=target, regParam=0.01, maxIter=30).fit(x).coefficients.toArray()
+        for f, w in zip(features, weights):
+            wins[f] += abs(w) > abs(weights[-1])
+    return {f: n / rounds for f, n in wins.items() if n / rounds >= keep}

@@ -176,3 +176,46 @@ def test_linkage():
 def test_matrix_fails_on_unknown_columns():
     with pytest.raises(ValueError):
         matrix.resolve([matrix.Feature("x", "t")], {}, ["y"], [])
+
+
+def test_registered_functions(spark):
+    from tessella.functions.register import register_functions
+
+    register_functions(spark)
+    assert [r[0] for r in spark.sql("select * from year_range(2001, 2003)").collect()] == [2001, 2002, 2003]
+    assert spark.sql("select normal_name('Commune d''Élan (x)')").first()[0] == "elan x"
+    assert spark.sql("select quality_weight('one two three')").first()[0] == 0.1
+    assert spark.sql("select ewm_last(v, 0.5) from values (4D), (4D), (null) t(v)").first()[0] == 2.0
+    assert round(spark.sql("select haversine_km(0, 0, 0, 1)").first()[0], 1) == 111.2
+
+
+def test_entities_are_resolved_by_tier(spark):
+    places = spark.createDataFrame([("bangassou", 1), ("bambari", 2)], "place_name string, place int")
+    units = [("admin2", spark.createDataFrame([("ouaka", 20)], "unit_name string, unit int")), ("admin1", spark.createDataFrame([("ouaka", 30), ("kemo", 31)], "unit_name string, unit int"))]
+    names = spark.createDataFrame([("bambari",), ("bangasso",), ("ouaka",), ("kemo",), ("paris",), (None,)], "n string")
+    got = {r["n"]: (r["place"], r["level"]) for r in joins.resolve_entities(names, "n", places, units, 85).collect()}
+    assert got == {"bambari": (2, "exact"), "bangasso": (1, "fuzzy"), "ouaka": (20, "admin2"), "kemo": (31, "admin1"), "paris": (None, None), None: (None, None)}
+
+
+def test_scales_and_breaks(spark):
+    from tessella.functions import display
+
+    df = spark.createDataFrame([(1, float(x)) for x in (1, 2, 3, 50, 51, 99, 100)], "g int, v double")
+    assert display.natural_breaks(df, "v", 3) == [3.0, 51.0, 100.0]
+    assert [round(r[0], 2) for r in df.select(display.min_max("v", "g")).collect()][-1] == 1.0
+    assert display.clipped(df, "v", "s").agg(F.max("s"), F.min("s")).first() == (1.0, 0.0)
+    assert df.select(display.max_abs("v", "g").alias("m")).agg(F.max("m")).first()[0] == 1.0
+
+
+def test_flags_columns_and_marginal(spark):
+    df = spark.createDataFrame([(dt.date(2024, 1, 1), 0), (dt.date(2024, 1, 2), 1)], "date date, f int")
+    assert contracts.structural_flags(df, ["f"]).first()["first_date"] == dt.date(2024, 1, 2)
+    assert contracts.selected_columns(["a", "b_x", "c_x"], exclude=["c_x"], pattern="_x$") == ["b_x"]
+    errors = spark.createDataFrame([(0.0, float(i)) for i in range(10)], "y double, m double")
+    assert conformal.marginal(errors, "y", "m", 0.2).first()["q"] == pytest.approx(7.92)
+
+
+def test_stability_selection(spark):
+    df = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), (F.pmod(F.xxhash64("id"), F.lit(7))).cast("double").alias("b"), ((F.col("id") % 20) > 9).cast("double").alias("y"))
+    got = diagnostics.stability_selection(df, ["a", "b"], "y", rounds=3)
+    assert got["a"] == 1.0
