@@ -21,7 +21,7 @@ from tessella.session import materialise
 #: The chain, in order: name and the condition on the labels that is its truth.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 #: Labelled rows that the models are fitted on, at most about so many, taken by a hash of doc_id.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 12_000
 FOLDS = 3
 #: Word and prefix features chosen for each category, and the documents that a feature needs.
 FEATURES = 300
@@ -30,6 +30,8 @@ MIN_DOCS = 3
 PREFIXES = (0, 4, 5, 6)
 THRESHOLD = 0.35
 BATCH_ROWS = 400
+#: Features that a Python worker counts before it passes the counts on.
+HELD_COUNTS = 200_000
 _runs = re.compile(r"([^\w\s])\1{1,}")
 
 
@@ -100,21 +102,23 @@ def choose_features(sample: DataFrame, categories, per_category: int, min_docs:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, ...], Counter] = {}
-
-        def flush() -> pa.RecordBatch:
-            rows = [(k, f, n, [n if y else 0 for y in ys]) for ys, c in seen.items() for (k, f), n in c.items()]
-            seen.clear()
-            return pa.RecordBatch.from_pydict({"k": pa.array([r[0] for r in rows], pa.int32()), "f": pa.array([r[1] for r in rows], pa.binary()), "n": pa.array([r[2] for r in rows], pa.int64()), "inside": pa.array([r[3] for r in rows], pa.list_(pa.int64()))})
-
+        held = 0
         for b in batches:
             for text, *ys in zip(b["text"], *[b[y].to_pylist() for y in names], strict=True):
                 c = seen.setdefault(tuple(ys), Counter())
                 for k, found in lexical(words_of(text.as_py())).items():
+                    held += len(found)
                     c.update((k, f) for f in found)
-            if sum(map(len, seen.values())) > 300_000:
-                yield flush()
-        if seen:
-            yield flush()
+                if held > HELD_COUNTS:
+                    yield from counted(seen)
+                    seen, held = {}, 0
+        yield from counted(seen)
+
+    def counted(seen: dict[tuple[int, ...], Counter]) -> Iterator[pa.RecordBatch]:
+        for ys, c in seen.items():
+            keys, n = list(c), np.fromiter(c.values(), np.int64, len(c))
+            inside = pa.FixedSizeListArray.from_arrays(pa.array((n[:, None] * np.array(ys)).ravel(), pa.int64()), len(ys))
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in keys], pa.int32()), "f": pa.array([f for _, f in keys], pa.binary()), "n": pa.array(n), "inside": inside.cast(pa.list_(pa.int64()))})
 
     n = len(names)
     totals = sample.agg(F.count("*").alias("all"), *[F.sum(y).alias(y) for y in names]).first()
