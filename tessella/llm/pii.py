@@ -17,9 +17,12 @@ PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: Characters without which a pattern need not be tried.
 NEEDS = {"email": "@", "phone": "+"}
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Tokens that may be identifiers: with a digit or an at sign, and four digits or an at sign in all.
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 KINDS = tuple(PATTERNS)
+#: A seed kind of the method's own: key ids of a published format, and long hexadecimal strings with digits and letters.
+SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{16,}+)(?![A-Za-z0-9])"
+SEEDS = PATTERNS | {"secret": SECRET}
+#: Runs of identifier characters with a digit or an at sign (four digits or an at sign in all) that may be identifiers.
+CANDIDATE = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+"
 
 #: Characters before and after a span that its lexical patterns are taken from.
 CONTEXT = 64
@@ -46,7 +49,7 @@ def raw_spans(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """
     text = F.col("_text")
     rows = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    tried = {kind: F.regexp_extract_all(text, F.lit(p), F.lit(0)) for kind, p in (PATTERNS | {"candidate": CANDIDATE}).items()}
+    tried = {kind: F.regexp_extract_all(text, F.lit(p), F.lit(0)) for kind, p in (SEEDS | {"candidate": CANDIDATE}).items()}
     none = F.array().cast("array<string>")
     tried = {kind: F.when(F.contains(text, F.lit(NEEDS[kind])), m).otherwise(none) if kind in NEEDS else m for kind, m in tried.items()}
     matched = rows.select("*", *[m.alias(f"_m_{kind}") for kind, m in tried.items()])
@@ -57,7 +60,7 @@ def raw_spans(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), gaps.alias("gaps"), F.col(f"_m_{kind}").alias("tokens"))
 
     own = F.from_json(F.lit('{"kind": ""}'), "kind string, gaps array<struct<n:int,tail:string,head:string>>, tokens array<string>")
-    found = F.filter(F.array(*[pieces(kind, p) for kind, p in (PATTERNS | {"candidate": CANDIDATE}).items()]), lambda x: F.size(x["tokens"]) > 0)
+    found = F.filter(F.array(*[pieces(kind, p) for kind, p in (SEEDS | {"candidate": CANDIDATE}).items()]), lambda x: F.size(x["tokens"]) > 0)
     by_kind = matched.select(*keep, "_row", F.explode(F.concat(F.array(own), found)).alias("_k"))
     zipped = F.arrays_zip(F.col("_k.tokens").alias("token"), F.col("_k.gaps").alias("before"), F.expr("slice(_k.gaps, 2, greatest(size(_k.tokens), 1))").alias("after"))
     each = by_kind.select(*keep, "_row", F.col("_k.kind").alias("kind"), F.posexplode_outer(zipped).alias("_i", "_p")).where("_i is null or _p.token is not null")
@@ -74,26 +77,32 @@ def valid() -> Column:
         F.when(F.col("kind") == "ip", F.col("token").rlike(rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"))
         .when(F.col("kind") == "card", F.when(n.between(13, 19), luhn("regexp_replace(token, '[^0-9]', '')")).otherwise(F.lit(False)))
         .when(F.col("kind") == "phone", n.between(9, 15))
+        .when(F.col("kind") == "secret", F.col("token").rlike("^AKIA") | F.col("token").rlike("[0-9]") & F.col("token").rlike("[a-f]"))
         .when(F.col("kind") == "candidate", (n >= 4) | F.contains(F.col("token"), F.lit("@")))
         .otherwise(F.lit(True))
     )
 
 
 def lexical_patterns() -> Column:
-    """The two words before a span, and the word before with the one behind; digits count as one, case does not."""
-    word = lambda side: F.filter(F.split(F.lower(F.regexp_replace(side, "[0-9]", "0")), r"\s+"), lambda w: w != "")
+    """The two words before a span; the word before with the one behind; the word that the span is attached to.
+
+    Digits count as one, case, quotes and brackets do not.
+    """
+    side = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"[\"'`()\[\]{}<>]", " "), "[0-9]", "0"))
+    word = lambda c: F.filter(F.split(side(c), r"\s+"), lambda w: w != "")
     before, after = word("left"), word("right")
     one, two = F.try_element_at(before, F.lit(-1)), F.try_element_at(before, F.lit(-2))
+    attached = F.when(side("left").rlike(r"\S$"), F.concat(F.lit("0:"), one))
     return F.filter(
-        F.array(F.concat(F.lit("2:"), two, F.lit(" "), one), F.concat(F.lit("1:"), one, F.lit(" _ "), F.try_element_at(after, F.lit(1)))),
+        F.array(attached, F.concat(F.lit("2:"), two, F.lit(" "), one), F.concat(F.lit("1:"), one, F.lit(" _ "), F.try_element_at(after, F.lit(1)))),
         lambda p: p.isNotNull(),
     )
 
 
 def free_candidates(spans: DataFrame) -> DataFrame:
-    """Candidates that no base span overlaps."""
+    """Candidates that no seed's span overlaps."""
     w = Window.partitionBy("_row").orderBy("start", "end")
-    base = F.col("kind").isin(*KINDS)
+    base = F.col("kind").isin(*SEEDS)
     before = F.max(F.when(base, F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.min(F.when(base, F.col("start"))).over(w.rowsBetween(0, Window.unboundedFollowing))
     return spans.where("kind <> ''").withColumns({"_before": before, "_after": after}).where("kind = 'candidate' and coalesce(_before, 0) <= start and coalesce(_after, end) >= end").drop("_before", "_after")
@@ -124,9 +133,9 @@ def find_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     """A row for each span, and one of kind '' for each row of docs: _row, keep, kind, start, end, base (from the patterns or discovered)."""
     spans = materialise(raw_spans(docs, keep).where(valid()))
     instance = F.lower(F.regexp_replace("token", r"^[^\w@+]+|[^\w]+$", ""))
-    occurrences = free_candidates(spans).withColumn("seed", F.lit(None).cast("string")).unionByName(spans.where(F.col("kind").isin(*KINDS)).withColumn("seed", F.col("kind")))
+    occurrences = free_candidates(spans).withColumn("seed", F.lit(None).cast("string")).unionByName(spans.where(F.col("kind").isin(*SEEDS)).withColumn("seed", F.col("kind")))
     edges = materialise(occurrences.select(instance.alias("instance"), "seed", F.explode(lexical_patterns()).alias("pattern")).distinct())
-    base = spans.where("kind <> 'candidate'").select("_row", *keep, "kind", "start", "end", F.lit(True).alias("base"))
+    base = spans.where("kind <> 'candidate'").select("_row", *keep, "kind", "start", "end", F.col("kind").isin(*KINDS).alias("base"))
     if edges.where("seed is not null").isEmpty():
         return base
     found = small(score_graph(edges))
@@ -138,9 +147,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     A null or empty text has no spans (the digest is that of the empty string). Kinds may overlap each other. Repeated rows
-    give a row each; other columns are not read. A discovered span takes the kind of its best patterns.
+    give a row each; other columns are not read. A discovered span takes the kind of its best patterns; the kinds are those of
+    the seeds, with secrets last.
     """
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    rank = F.array_position(F.array(*map(F.lit, SEEDS)), F.col("kind"))
     span = F.when(F.col("kind") != "", F.struct(rank.alias("r"), "start", F.col("end"), F.col("kind"), F.col("base")))
     written = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.count(F.when((F.col("kind") == kind) & F.col("base"), 1)).alias(f"n_{kind}")

@@ -59,6 +59,14 @@ def test_context_discovers_unseen_identifiers(docs):
     assert got[20] == "email:30:41" and got[21] == ""
 
 
+def test_secrets_are_seeds_and_their_contexts_find_others(docs):
+    seen = {i: f'x{i} token = "{i:040x}a1" and password={i:016x}b2 here' for i in range(8)}
+    more = {20: 'y token = "zz-778899" and password=Tr0ub4dor12 here', 21: "page 1234567 of 99999"}
+    got = {r["doc_id"]: r for r in pii.personal_data(docs(seen | more)).collect()}
+    assert got[20]["spans"] == "secret:11:20,secret:35:46" and got[21]["spans"] == ""
+    assert got[3]["spans"].count("secret:") == 2 and got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_redaction(docs):
     texts = {1: "mail a@b.cd and +1 (555) 123-4567.", 2: None, 3: "clean", 4: "é😀 a@b.cd", 5: ""}
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(docs(texts)).collect()}
