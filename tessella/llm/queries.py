@@ -123,6 +123,18 @@ select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) |
 from e group by conv_id
 """
 
+_EMBEDDING_SQL = """
+with recursive e as (select row_number() over () as r, vec_id, label, embedding,
+    coalesce(label is not null and vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as fine from embeddings),
+u as (select r, vec_id, label, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as v from e where fine),
+l as (select a.r as a, b.r as b from u a join u b on a.label = b.label and a.r <> b.r and len(a.v) = len(b.v) and list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) >= 0.93),
+reach(r, vec_id) as (select r, vec_id from e union select l.a, reach.vec_id from l join reach on l.b = reach.r)
+select e.vec_id, (select count(*) from l where l.a = e.r)::bigint as n_links, (select min(reach.vec_id) from reach where reach.r = e.r) as component_id,
+  e.vec_id is not distinct from (select min(reach.vec_id) from reach where reach.r = e.r) as kept
+from e
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -138,6 +150,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_license_scan": _license_sql(),
+    "op4_embedding_near_dedup": _EMBEDDING_SQL,
     "op5_decontamination": _DECONTAMINATION_SQL,
     "op9_mixing": _MIXING_SQL,
     "op10_chat_format": _CHAT_SQL,
