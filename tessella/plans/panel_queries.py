@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.operators import aggregates as A
 from tessella.operators import binning as B
 from tessella.operators import decay as D
 from tessella.operators import joins as J
-from tessella.operators import ranking as R
 from tessella.operators import spatial as X
 from tessella.operators import spine as S
 from tessella.operators import windows as W
