@@ -27,18 +27,21 @@ def full_outer_series(series: list[DataFrame], key: str = "date") -> DataFrame:
 def asof_backward(left: DataFrame, right: DataFrame, on: str, by: list[str] = (), tolerance_days: int | None = None) -> DataFrame:
     """left with all other columns of the newest right row at or before its date, nulls included; null beyond the tolerance.
 
-    Both sides go through one sort by (by, date), so no pairs are made and nothing is broadcast. Without keys the dates of
-    the left side alone are matched, then joined back: a national series never meets the panel row by row.
+    Both sides go through one sort by (by, date): no pairs are made, nothing is broadcast, and with keys there is one shuffle.
+    Without keys the dates of the left side alone are matched, then joined back: a national series never meets the panel row
+    by row. Null keys match nothing. Of right rows at the same place one is taken.
     """
-    by, values = list(by), [c for c in right.columns if c != on and c not in by]
-    keys = left.select(*by, on).distinct()
-    row = F.struct(F.col(on).alias("_at"), *values)
-    marked = right.select(*by, on, row.alias("_row"), F.lit(0).alias("_side")).unionByName(keys.select(*by, on, F.lit(None).cast(right.select(row).schema[0].dataType).alias("_row"), F.lit(1).alias("_side")))
+    by = list(by)
+    values = [c for c in right.columns if c != on and c not in by]
+    rows = left if by else left.select(on).distinct()
+    mine, theirs = F.struct(*rows.columns), F.struct(F.col(on).alias("_at"), *values)
+    none = lambda df, c: F.lit(None).cast(df.select(c.alias("x")).schema[0].dataType)
+    marked = rows.select(*by, on, mine.alias("_left"), none(right, theirs).alias("_right"), F.lit(1).alias("_side")).unionByName(right.select(*by, on, none(rows, mine).alias("_left"), theirs.alias("_right"), F.lit(0).alias("_side")))
     w = (Window.partitionBy(*by) if by else Window).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = marked.withColumn("_row", F.last("_row", ignorenulls=True).over(w)).where("_side = 1")
-    ok = F.lit(True) if tolerance_days is None else F.datediff(on, "_row._at") <= tolerance_days
-    matched = found.select(*by, on, *[F.when(ok, F.col(f"_row.{v}")).alias(v) for v in values])
-    return left.join(matched, [*by, on], "left")
+    found = marked.withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    ok = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by], F.lit(True) if tolerance_days is None else F.datediff(on, "_right._at") <= tolerance_days)
+    matched = found.select(*[F.col(f"_left.{c}").alias(c) for c in rows.columns], *[F.when(ok, F.col(f"_right.{v}")).alias(v) for v in values])
+    return matched if by else left.join(matched, on, "left")
 
 
 def overlap_windows(events: DataFrame, start: str, end: str, value: str, anchor: str, days: int, cell: str) -> DataFrame:

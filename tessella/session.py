@@ -22,6 +22,8 @@ def get_spark(cpus: int | str = "*", partitions: int = 8, app: str = "tessella")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # A panel that lies by cell stays so for joins on (cell, date): a cell has as many rows as any other.
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
