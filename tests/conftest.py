@@ -1,9 +1,10 @@
 import os
+import shutil
 
 import duckdb
 import pytest
 
-from tessella.session import get_spark
+from tessella.session import LOCAL_CHECKPOINTS, get_spark
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -14,6 +15,7 @@ def spark():
     session = get_spark(8, partitions=4, app="tests")
     yield session
     session.stop()
+    shutil.rmtree(LOCAL_CHECKPOINTS, ignore_errors=True)
 
 
 @pytest.fixture(scope="session")
