@@ -54,6 +54,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """df in at most two partitions a core, without a shuffle: for small results of many tasks, so that few files are written."""
+    return df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None or sc._jsc.sc().isStopped():
