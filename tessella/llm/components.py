@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import materialise
+from tessella.session import compact, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,7 +16,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     repeated edges do no harm; no edges give no rows.
     """
     lo, hi = F.least(a, b), F.greatest(a, b)
-    forest = materialise(edges.select(hi.alias("hi"), lo.alias("lo")).where("hi > lo").distinct())
+    forest = materialise(compact(edges.select(hi.alias("hi"), lo.alias("lo")).where("hi > lo").distinct()))
     before = None
     while (now := forest.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()) != before:
         before = now
@@ -25,5 +25,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo")
-        forest = materialise(small.where("hi > lo").distinct())
+        forest = materialise(compact(small.where("hi > lo").distinct()))
     return forest.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(forest.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

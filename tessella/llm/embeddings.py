@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import components
-from tessella.session import materialise
+from tessella.session import compact, materialise
 
 COSINE = 0.93
 #: Vectors that pivots are chosen from, and the cosine that two pivots have at most.
@@ -137,7 +137,7 @@ def links_by_pivots(classes: DataFrame, cosine: float = COSINE, prefix: int = PR
     odd = F.when(F.col("tops")[0] < 0, F.array(-F.size("v"))).otherwise(F.col("tops"))  # vectors of another length: a list a length
     postings = materialise(described.withColumn("tops", odd).withColumn("pivot", F.explode("tops")))
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    lists = materialise(postings.groupBy("lab", "pivot").count().withColumnRenamed("count", "n").where("n > 1").withColumn("blocks", blocks))
+    lists = materialise(compact(postings.groupBy("lab", "pivot").count().withColumnRenamed("count", "n").where("n > 1").withColumn("blocks", blocks)))
     total = lists.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
     if not total:
         return spark.createDataFrame([], "cid long, links long, root long")
@@ -172,10 +172,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, prefix: int = PR
     rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("v"), F.col("label").cast("long").alias("lab"), fine.alias("fine"))
     classes = rows.where("fine").groupBy("lab", "v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("size"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()))
-    found = materialise(links_by_pivots(classes.select("cid", "lab", "v", "size"), cosine, prefix, shared))
+    found = materialise(compact(links_by_pivots(classes.select("cid", "lab", "v", "size"), cosine, prefix, shared)))
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select("cid", "root"), "cid", "root").withColumnRenamed("node", "cid")
-    named = materialise(classes.join(counts, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")).select("lab", "v", "first_id", "size", "root", F.coalesce("links", F.lit(0)).alias("links")))
+    named = materialise(compact(classes.join(counts, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")).select("lab", "v", "first_id", "size", "root", F.coalesce("links", F.lit(0)).alias("links"))))
     firsts = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = named.join(firsts, "root").select("lab", F.xxhash64("v").alias("h"), "v", (F.col("size") - 1 + F.col("links")).alias("n_links"), "component_id")
     linked = rows.where("fine").withColumn("h", F.xxhash64("v")).join(named, ["lab", "h", "v"]).select("vec_id", "n_links", "component_id")

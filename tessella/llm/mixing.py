@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import materialise, small
+from tessella.session import compact, materialise, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -63,16 +63,16 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     plan = plan.withColumn("_budget", F.round("target").cast("long"))
     whole = F.when(F.col("source_size") > 0, F.expr("_budget div source_size")).otherwise(F.lit(0))
     plan = plan.withColumn("_epochs", whole).withColumn("_last", F.col("_budget") - F.col("_epochs") * F.col("source_size"))
-    plan = small(materialise(plan))
+    plan = small(materialise(compact(plan)))
     running = Window.partitionBy("_source", "_range").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
-        slim.join(small(materialise(ranges.join(plan.select("_source", "_last"), "_source").where("_before < _last and _last <= _before + _words"))), ["_source", "_range"])
+        slim.join(small(materialise(compact(ranges.join(plan.select("_source", "_last"), "_source").where("_before < _last and _last <= _before + _words")))), ["_source", "_range"])
         .withColumn("_before", F.col("_before") + F.coalesce(F.sum("size").over(running), F.lit(0)))
         .where("_before < _last and _last <= _before + size")
         .groupBy("_source")
         .agg(F.min(F.struct("_key", "size", (F.col("_last") - F.col("_before")).alias("words"))).alias("_cut"))
     )
-    return materialise(plan.join(cut, "_source", "left"))
+    return materialise(compact(plan.join(cut, "_source", "left")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import materialise, small
+from tessella.session import compact, materialise, small
 
 # The contract's patterns, written so that no match backtracks (possessive; a match begins where a run of its
 # first characters begins or where the match before it ended). Matches are the same.
@@ -124,7 +124,7 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         confident = known.groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("m")).where(F.col("m") >= MIN_SEEDS)
         confident = confident.join(sizes, "pattern").withColumn("c", F.col("s") / (F.col("n") + 1)).where(F.col("c") >= MIN_CONFIDENCE).select("pattern", "kind", "c")
         scores = open_edges.join(confident, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("score"))
-        scores = materialise(scores.where(F.col("score") >= ACCEPT))
+        scores = materialise(compact(scores.where(F.col("score") >= ACCEPT)))
         known = seeds.unionByName(open_edges.join(scores, "instance").select("pattern", "instance", "kind", "score"))
     return scores.groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
 
@@ -134,7 +134,7 @@ def find_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     spans = materialise(raw_spans(docs, keep).where(valid()))
     instance = F.lower(F.regexp_replace("token", r"^[^\w@+]+|[^\w]+$", ""))
     occurrences = free_candidates(spans).withColumn("seed", F.lit(None).cast("string")).unionByName(spans.where(F.col("kind").isin(*SEEDS)).withColumn("seed", F.col("kind")))
-    edges = materialise(occurrences.select(instance.alias("instance"), "seed", F.explode(lexical_patterns()).alias("pattern")).distinct())
+    edges = materialise(compact(occurrences.select(instance.alias("instance"), "seed", F.explode(lexical_patterns()).alias("pattern")).distinct()))
     base = spans.where("kind <> 'candidate'").select("_row", *keep, "kind", "start", "end", F.col("kind").isin(*KINDS).alias("base"))
     if edges.where("seed is not null").isEmpty():
         return base
@@ -171,7 +171,7 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = find_spans(keyed.select(*key, "text"), key).where("kind <> ''").select(*key, "kind", "start", "end").distinct()
     spans = spans.withColumn("reached", F.coalesce(F.max("end").over(w), F.lit(0))).where("end > reached")
     cut = F.struct(F.greatest("start", "reached").alias("start"), "end", "reached", "kind")
-    cuts = small(materialise(spans.groupBy(F.col("_pii_id").alias("_cut_id"), F.col("_pii_digest").alias("_cut_digest")).agg(F.array_sort(F.collect_list(cut)).alias("_cuts"))))
+    cuts = small(materialise(compact(spans.groupBy(F.col("_pii_id").alias("_cut_id"), F.col("_pii_digest").alias("_cut_digest")).agg(F.array_sort(F.collect_list(cut)).alias("_cuts")))))
     joined = keyed.join(cuts, (F.col("_pii_digest") == F.col("_cut_digest")) & F.col("_pii_id").eqNullSafe(F.col("_cut_id")), "left")
     pieces = F.expr("transform(_cuts, c -> concat(substring(text, cast(c.reached + 1 as int), cast(c.start - c.reached as int)), '[', upper(c.kind), ']'))")
     rest = F.expr("substring(text, cast(element_at(_cuts, -1).end + 1 as int))")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import components
-from tessella.session import materialise, small
+from tessella.session import compact, materialise, small
 
 SHINGLE = 3
 SEED = 42
@@ -86,7 +86,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = materialise(fingerprints(docs))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(near_links(nodes), "fp", "least")
-    nodes = materialise(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    nodes = materialise(compact(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))))
     named = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marked.join(nodes.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -96,10 +96,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     If that doc_id has several rows, one of them stays.
     """
-    judged = materialise(near_duplicates(docs))
-    dropped = small(materialise(judged.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct()))
+    judged = materialise(compact(near_duplicates(docs)))
+    gone = judged.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null")
+    dropped = small(materialise(compact(gone.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct())))
     kept = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_none": F.col("doc_id").isNull()}).join(dropped, ["_id", "_none"], "left_anti").drop("_id", "_none")
-    again = materialise(judged.where("not doc_id <=> null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    again = materialise(compact(judged.where("not doc_id <=> null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))))
     if again.isEmpty():
         return kept
     marked = kept.join(small(again), kept["doc_id"] == F.col("_again"), "left")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.decontamination import words_of
-from tessella.session import materialise
+from tessella.session import compact, materialise
 
 #: The chain, in order: name and the condition on the labels that is its truth.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
@@ -123,7 +123,7 @@ def choose_features(sample: DataFrame, categories, per_category: int, min_docs:
     n = len(names)
     totals = sample.agg(F.count("*").alias("all"), *[F.sum(y).alias(y) for y in names]).first()
     counts = sample.select("text", *names).mapInArrow(count, "k int, f binary, n long, inside array<long>")
-    counts = materialise(counts.groupBy("k", "f").agg(F.sum("n").alias("n"), *[F.sum(F.col("inside")[i]).alias(f"i{i}") for i in range(n)]).where(F.col("n") >= min_docs))
+    counts = materialise(compact(counts.groupBy("k", "f").agg(F.sum("n").alias("n"), *[F.sum(F.col("inside")[i]).alias(f"i{i}") for i in range(n)]).where(F.col("n") >= min_docs)))
     chosen: dict[tuple[int, bytes], None] = {}
     for i, y in enumerate(names):
         a, b = totals[y] or 0, totals["all"] - (totals[y] or 0)
@@ -142,7 +142,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: i
     A category whose truth is the same for all sampled rows always gets that value; no labelled rows give 0 for all.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    sample = materialise(labelled_sample(docs, labels, categories, rows))
+    parts = docs.sparkSession.sparkContext.defaultParallelism
+    sample = materialise(labelled_sample(docs, labels, categories, rows).repartition(2 * parts))
     chain = Chain([name for name, _ in categories], choose_features(sample, categories, per_category, min_docs))
     names = [f"y_{name}" for name in chain.names]
 
@@ -174,7 +175,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: i
             out = parts[0]
             for p in parts[1:]:
                 out = out.unionByName(p)
-            rows_ = materialise(out)
+            rows_ = materialise(compact(out))
     return chain
 
 
