@@ -11,7 +11,7 @@ from tessella.session import table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    judged = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.SHINGLE, similarity=None)
     return judged.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -1,4 +1,4 @@
-"""SimHash near-dedup by covering locality-sensitive hashing."""
+"""SimHash near-dedup by covering locality-sensitive hashing, and exact near-dedup of shingle sets by prefix filtering."""
 
 from __future__ import annotations
 
@@ -19,28 +19,47 @@ RADIUS = 2
 BITS = 64
 BATCH_ROWS = 400
 CHUNK = 1 << 16
+#: Words a shingle and least Jaccard similarity of near copies where no contract asks for fingerprints within 2 bits.
+COPY_SHINGLE = 5
+SIMILARITY = 0.8
+#: Bits of the bitmap that bounds the overlap of two sets; rows compared at once; members up to which a bucket lists all its pairs.
+SKETCH = 1024
+BLOCK = 256
+PAIRS_BELOW = 32
+#: Documents that common shingles are looked for in, how many of them have a common one, and how many are known at most.
+SAMPLE_DOCS, COMMON, COMMON_MOST = 20_000, 8, 50_000
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The XXH64 of each of the text's word shingles; a text of fewer words is one shingle, one without words none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: A-Z and ASCII white space only
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    return np.array([xxhash.xxh64_intdigest(s, seed) for s in joined], np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64 bits, each set if it is in over half of the XXH64 of the text's word shingles; 0 for a text without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: A-Z and ASCII white space only
-    if not words:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
         return 0
-    joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.array([xxhash.xxh64_intdigest(s, seed) for s in joined], np.uint64)
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), CHUNK):
         counts += np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (64 bits as a long) of each row."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([fingerprint(t.as_py()) for t in b["text"]], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([fingerprint(t.as_py(), shingle) for t in b["text"]], pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(mark, "doc_id long, fp long")
 
@@ -76,19 +95,141 @@ def near_links(prints: DataFrame) -> DataFrame:
     return around.join(least, "neighbour").where("fp > least").select("fp", "least").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of each row: the smallest doc_id that links of fingerprints at 2 bits or fewer reach.
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted shingles that many documents of a sample have. They only order the others, so what is missed costs time, not links."""
+    share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b["text"]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64))], ["h"])
+
+    sampled = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct().mapInArrow(split, "h long")
+    rows = sampled.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(COMMON_MOST).collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64))
+
+
+def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, fp, set_id (equal for equal sets; 0 for the empty one), hashes (sorted), keys and sketch of each row.
+
+    Of two sets of that similarity, each holds all but a fifth of the other at most, so they share one of their first
+    len - ceil(similarity * len) + 1 shingles in any common order. Here common shingles come last.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    common = common_shingles(docs, shingle)
 
-    Rows with equal fingerprints, whatever their number, are one node from the start. A null or empty text has fingerprint 0
-    and is linked like any other; rows with a null doc_id are linked too but give no component_id (null if a component has
-    no other); repeated rows give a row each; no rows give none. Other columns are not read.
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints, ids, sets, keys, sketches = [], [], [], [], []
+            for t in b["text"]:
+                every = shingle_hashes(t.as_py(), shingle)
+                own = np.unique(every.view(np.int64))
+                first = own[np.argsort(np.isin(own, common), kind="stable")] if len(common) else own
+                bits = np.zeros(SKETCH, np.uint8)
+                bits[own.view(np.uint64) % np.uint64(SKETCH)] = 1
+                prints.append(majority(every))
+                ids.append(signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)) if len(own) else 0)
+                sets.append(own)
+                keys.append(first[: len(own) - least_overlap(len(own), similarity) + 1] if len(own) else own)
+                sketches.append(np.packbits(bits).tobytes())
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(prints, pa.int64()), pa.array(ids, pa.int64()), pa.array(sets, lists), pa.array(keys, lists), pa.array(sketches, pa.binary())], ["doc_id", "fp", "set_id", "hashes", "keys", "sketch"])
+
+    return docs.mapInArrow(mark, "doc_id long, fp long, set_id long, hashes array<long>, keys array<long>, sketch binary")
+
+
+def least_overlap(n: int, similarity: float) -> int:
+    return int(np.ceil(similarity * n - 1e-9))
+
+
+def met_members(sets: DataFrame) -> DataFrame:
+    """key and members (set_id, n, sketch) of each first shingle that several sets have; of equal buckets, one."""
+    placed = sets.select("set_id", F.explode("keys").alias("key"))
+    met = placed.groupBy("key").agg(F.array_sort(F.collect_set("set_id")).alias("ids")).where(F.size("ids") > 1)
+    met = materialise(compact(met.groupBy(F.sha2(F.array_join("ids", ","), 256).alias("key")).agg(F.any_value("ids").alias("ids"))))
+    ids = small(materialise(compact(met.select(F.explode("ids").alias("set_id")).distinct())))
+    known = materialise(compact(sets.join(ids, "set_id").groupBy("set_id").agg(F.any_value(F.size("hashes")).alias("n"), F.any_value("sketch").alias("sketch"))))
+    return materialise(compact(met.select("key", F.explode("ids").alias("set_id")).join(known, "set_id")))
+
+
+def candidates(members: DataFrame, roots: DataFrame, refuted: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Pairs (a, b), a > b, of different roots in a bucket whose sizes and sketches allow the similarity and that weren't refuted.
+
+    Small buckets list all of theirs, in others each set has `most` at most: later rounds see those that are then still apart.
+    """
+    known = members.join(small(roots), F.col("set_id") == F.col("node"), "left").join(refuted, F.col("set_id") == F.col("a"), "left")
+    grouped = known.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("set_id", "n", F.coalesce("root", "set_id").alias("root"), "sketch", "others"))).alias("m"))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = set()
+            for m in batch["m"]:
+                m = m.as_py()
+                ids, n, root = (np.array([x[c] for x in m], np.int64) for c in ("set_id", "n", "root"))
+                bits = np.frombuffer(b"".join(x["sketch"] for x in m), np.uint64).reshape(len(m), -1)
+                for i in range(0, len(m), BLOCK):
+                    to = min(i + BLOCK, len(m))
+                    apart = np.zeros((to - i, to), np.int64)
+                    for w in range(bits.shape[1]):
+                        apart += np.bitwise_count(bits[i:to, None, w] ^ bits[None, :to, w])
+                    both = n[i:to, None] + n[None, :to]
+                    overlap = np.minimum((both - apart) // 2, np.minimum(n[i:to, None], n[None, :to]))
+                    allowed = (overlap * (1 + similarity) >= similarity * both - 1e-9) & (root[i:to, None] != root[None, :to]) & np.tri(to - i, to, i - 1, bool)
+                    for k in range(to - i):
+                        out = set(m[i + k]["others"] or ())
+                        found = [int(j) for j in ids[:to][allowed[k]] if int(j) not in out]
+                        pairs.update((int(ids[i + k]), j) for j in (found if len(m) <= PAIRS_BELOW else found[:most]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return grouped.select("m").mapInArrow(pair, "a long, b long").distinct()
+
+
+def judge(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b and same (whether the Jaccard similarity is reached) of each pair."""
+    ids = small(materialise(compact(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())))
+    known = materialise(sets.join(ids, "set_id").groupBy("set_id").agg(F.any_value("hashes").alias("hashes")))
+    side = lambda c: known.select(F.col("set_id").alias(c), F.col("hashes").alias(f"_{c}"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    same = both >= (F.size("_a") + F.size("_b") - both) * F.lit(similarity) - F.lit(1e-9)
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", same.alias("same"))
+
+
+def similar_roots(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the sets that others are similar to: components of all pairs of that Jaccard similarity.
+
+    A round links sets that are still apart. The last one finds no pair that is apart, possible and not refuted, so all are exact.
+    """
+    spark, members, most = sets.sparkSession, met_members(sets), 1
+    judged = spark.createDataFrame([], "a long, b long, same boolean")
+    roots = spark.createDataFrame([], "node long, root long")
+    while True:
+        refuted = judged.where("not same").groupBy("a").agg(F.collect_list("b").alias("others"))
+        pairs = materialise(compact(candidates(members, roots, refuted, similarity, most)))
+        if pairs.isEmpty():
+            return roots
+        judged = materialise(compact(judged.unionByName(judge(pairs, sets, similarity))))
+        roots = components(judged.where("same"))
+        most *= 4
+
+
+def near_duplicates(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float | None = SIMILARITY) -> DataFrame:
+    """doc_id, fp and component_id of each row: the smallest doc_id that links reach.
+
+    Links are all pairs whose sets of word shingles have that Jaccard similarity or, without one, all pairs of fingerprints
+    at 2 bits or fewer. Rows with equal sets or fingerprints, whatever their number, are one node from the start. Null and
+    empty texts have fingerprint 0 and are one node; rows with a null doc_id are linked too but give no component_id (null if
+    a component has no other); repeated rows give a row each; no rows give none. Other columns are not read.
     """
-    marked = materialise(fingerprints(docs))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(near_links(nodes), "fp", "least")
-    nodes = materialise(compact(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))))
+    if similarity is None:
+        marked = materialise(fingerprints(docs, shingle)).withColumn("node", F.col("fp"))
+    else:
+        marked = materialise(shingle_sets(docs, shingle, similarity)).withColumn("node", F.col("set_id"))
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    roots = components(near_links(nodes.withColumnRenamed("node", "fp")), "fp", "least") if similarity is None else similar_roots(marked, similarity)
+    nodes = materialise(compact(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
     named = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.join(nodes.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marked.select("doc_id", "fp", "node").join(nodes.join(named, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -77,3 +77,47 @@ def test_odd_rows(spark, odd):
 
 def test_empty(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0 == simhash.drop_near_duplicates(odd.limit(0)).count()
+
+
+def plain_similar(texts):
+    """id to component, by the Jaccard similarity of all pairs of five-word sets."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4)) if w)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(sorted(sets), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and find(i) != find(j):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in sets}
+
+
+def test_stage_links_all_of_similarity_and_nothing_else(spark, docs):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    texts = {}
+    for _ in range(8):
+        old = rng.choices(words, k=rng.choice((12, 60, 300)))
+        for _ in range(45 if len(texts) < 45 else 9):
+            new = list(old)
+            for k in rng.sample(range(len(new)), rng.randint(0, max(2, len(new) // 30))):
+                new[k] = rng.choice(words)
+            texts[len(texts)] = " ".join(new)
+    texts |= {900: None, 901: "", 902: "two words", 903: "Two  Words", 904: "three more words"}
+    want = plain_similar(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(texts)).collect()}
+    assert got == want
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs(texts)).collect()} == set(want.values())
+
+
+def test_stage_drops_near_copies_beyond_two_bits(spark):
+    texts = {r["doc_id"]: r["text"] for r in table(spark, SMALL.replace("0.001", "0.01"), "documents").collect() if r["doc_id"] in (2, 56)}
+    assert (simhash.fingerprint(texts[2]) ^ simhash.fingerprint(texts[56])).bit_count() > 2
+    both = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.drop_near_duplicates(both).collect()] == [2]
