@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines, cut at sentence ends."""
+"""Substring dedup by hashing lines, cut at sentence ends and, in long sentences, at places that their words set."""
 
 from __future__ import annotations
 
@@ -12,29 +12,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Units of fewer words are not compared and always stay.
+#: Units of fewer words are compared together with the CONTEXT words before them.
 MIN_WORDS = 5
+CONTEXT = 8
+#: A long sentence is cut before a word whose hash is the least of the REACH - 1 on either side, REACH words from its ends at least.
+REACH = 8
 BATCH_ROWS = 400
 _sentence_end = re.compile(r"[.!?]+[ \t]+")
+_word = re.compile(r"\S+")
+
+
+def inner_cuts(text: str, start: int, end: int) -> list[int]:
+    """Places to cut text[start:end], a sentence, at. Whether a word is one depends on the REACH words on either side alone."""
+    words = list(_word.finditer(text, start, end))
+    if len(words) <= 2 * REACH:
+        return []
+    plain = [w[0].lower().encode("utf-8", "surrogatepass") for w in words]
+    marks = [zlib.crc32(b" ".join(plain[i : i + 2])) for i in range(len(words))]
+    return [words[i].start() for i in range(REACH, len(words) - REACH) if marks[i] < min(marks[i - REACH + 1 : i]) and marks[i] <= min(marks[i + 1 : i + REACH])]
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes | None]]:
-    """(start, end, digest) of each unit, in order, without gaps: lines with their break, cut behind a sentence of min_words or more.
+    """(start, end, digest) of each unit, in order, without gaps: lines with their break, cut behind sentences and inside long ones.
 
-    The digest is of the unit's lower-cased words, joined by blanks; None if they are too few.
+    Cuts depend on the words around them, not on where the last cut was. The digest is of the unit's lower-cased words,
+    joined by blanks; if they are too few, of the CONTEXT words before the unit too; None if there are no words or not so
+    many before.
     """
-    start = 0
+    start, before = 0, []
     for line in text.splitlines(keepends=True):
         end = start + len(line)
-        cuts = [start + m.end() for m in _sentence_end.finditer(line) if start + m.end() < end]
-        for cut in (*cuts, end):
+        ends = [start + m.end() for m in _sentence_end.finditer(line) if start + m.end() < end]
+        cuts, begin = [], start
+        for stop in (*ends, end):
+            cuts += [*inner_cuts(text, begin, stop), stop]
+            begin = stop
+        for cut in cuts:
             words = text[start:cut].lower().split()
-            if len(words) >= min_words:
-                yield start, cut, hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            elif cut == end:
-                yield start, cut, None
-            else:
-                continue
+            compared = words if len(words) >= min_words else ["", *before, "", *words] if words and len(before) == CONTEXT else None
+            yield start, cut, compared and hashlib.blake2b(" ".join(compared).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            before = (before + words)[-CONTEXT:]
             start = cut
 
 

@@ -37,3 +37,42 @@ def test_odd_rows(odd):
     assert sorted(r["text"] is None for r in got.collect()) == [False] * 9 + [True]
     assert {r["n_removed"] for r in got.where("doc_id = 1").collect()} == {0}
     assert substrings.dedup_substrings(odd.limit(0)).count() == 0
+
+
+def repeated_words(texts, n=50):
+    """For each text, whether each word is in a span of n words that stands in an earlier text."""
+    seen, marks = set(), []
+    for text in texts:
+        words = text.lower().split()
+        mark, own = [False] * len(words), []
+        for i in range(len(words) - n + 1):
+            span = hash(tuple(words[i : i + n]))
+            own.append(span)
+            if span in seen:
+                mark[i : i + n] = [True] * n
+        seen.update(own)
+        marks.append(mark)
+    return marks
+
+
+def test_a_long_sentence_behind_other_words_is_found(docs):
+    sentence = " ".join(f"word{i * i % 997}" for i in range(60)) + "."
+    for first, second in (("Yes. ", "No. "), ("He said that ", "Nobody had ever heard before that "), ("", "One two three four five six. But ")):
+        got = {r["doc_id"]: r["text"] for r in substrings.dedup_substrings(docs({1: first + sentence, 2: second + sentence})).collect()}
+        assert got[1] == first + sentence
+        assert len(got[2].split()) <= len(second.split()) + 24, (first, second)
+
+
+def test_spans_of_50_words_leave_little(spark):
+    rows = sorted(table(spark, SMALL.replace("0.001", "0.01"), "documents").collect(), key=lambda r: r["doc_id"])
+    marks = repeated_words([r["text"] for r in rows])
+    seen, of, stay = set(), 0, 0
+    for r, mark in zip(rows, marks):
+        k = 0
+        for a, b, digest in substrings.units(r["text"]):
+            n = len(r["text"][a:b].split())
+            of += sum(mark[k : k + n])
+            stay += sum(mark[k : k + n]) if digest is None or digest not in seen else 0
+            seen.add(digest)
+            k += n
+    assert of > 1000 and stay < 0.07 * of
