@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -16,8 +17,8 @@ def test_round_trip(role, text):
     escaped = chat.escape(text)
     assert chat.unescape(escaped) == text and not any(c in escaped for c in chat.CONTROLS)
     ids, mask = codec.assemble(role, text, True)
-    assert codec.read(ids) == (role, text)
-    assert codec.decode([i for i, m in zip(ids, mask) if m]) == text
+    whole = chat.TURN + chat.escape(role) + chat.SAYS + escaped + chat.END
+    assert codec.read(ids, mask) == (role, text, text, len(whole))
     assert codec.assemble(role, text, False)[1].sum() == 0
 
 
@@ -35,3 +36,17 @@ def test_long_conversations_and_texts(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} ") for i in range(3000)] + [(2, 0, "assistant", "long text " * 50_000)]
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(spark.createDataFrame(rows, TURNS))).collect()}
     assert got[1]["n_turns"] == 3000 and got[2]["loss_chars"] == 500_000
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "#", "\\", "é", " \n", "</turn>"])
+def test_runs_of_five_million_characters(unit):
+    text = unit * (5_000_000 // len(unit)) + "x"
+    ids, mask = codec.assemble("assistant", text, True)
+    assert codec.read(ids, mask)[1:3] == (text, text)
+
+
+def test_a_run_passes_the_operator(spark):
+    rows = [(1, 0, "assistant", " " * 1_000_000), (2, 0, "user", "\n" * 1_000_000), (3, 0, "assistant", "a" * 999 + " " * 999)]
+    got = {r["conv_id"]: (r["loss_chars"], r["formatted_chars"]) for r in chat.read_back(chat.format_turns(spark.createDataFrame(rows, TURNS))).collect()}
+    frame = len(chat.TURN + chat.SAYS + chat.END)
+    assert got == {1: (1_000_000, 1_000_009 + frame), 2: (0, 1_000_004 + frame), 3: (1998, 2007 + frame)}
