@@ -88,12 +88,19 @@ class Chain:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories, rows: int) -> DataFrame:
-    """text, fold and y_<category> (0 or 1) of at most about `rows` labelled documents, chosen by a hash of doc_id."""
-    marks = labels.select("doc_id", *[F.coalesce(F.expr(truth), F.lit(False)).cast("int").alias(f"y_{name}") for name, truth in categories]).where("doc_id is not null").dropDuplicates(["doc_id"])
+    """text, fold and y_<category> (0 or 1) of at most about `rows` labelled documents, chosen by a hash of doc_id.
+
+    A category holds if any label of the doc_id says so. Of several texts of a doc_id the least is taken, so the bound holds;
+    folds go by text, so that copies under other ids don't tell a fold's model what it is asked.
+    """
+    truths = [F.max(F.coalesce(F.expr(truth), F.lit(False)).cast("int")).alias(f"y_{name}") for name, truth in categories]
+    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(*truths)
     n = max(1, labels.count())
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000))
-    chosen = marks.where(place < int(1_000_000 * min(1.0, rows / n))).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)))
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").drop("doc_id")
+    chosen = marks.where(place < int(1_000_000 * min(1.0, rows / n)))
+    names = [f"y_{name}" for name, _ in categories]
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text"))
+    return sample.select("text", F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(FOLDS)).alias("fold"), *names)
 
 
 def choose_features(sample: DataFrame, categories, per_category: int, min_docs: int) -> list[tuple[int, bytes]]:
@@ -139,7 +146,8 @@ def choose_features(sample: DataFrame, categories, per_category: int, min_docs:
 def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = SAMPLE_ROWS, folds: int = FOLDS, per_category: int = FEATURES, min_docs: int = MIN_DOCS) -> Chain:
     """Fit category after category; a later model sees the earlier categories' out-of-fold probabilities.
 
-    A category whose truth is the same for all sampled rows always gets that value; no labelled rows give 0 for all.
+    A category whose truth is the same for all sampled rows always gets that value; no labelled rows give 0 for all. Where the
+    other folds hold rows of one truth only, or none, a fold's probability is the share of true rows there, or of all rows.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     parts = docs.sparkSession.sparkContext.defaultParallelism
@@ -155,7 +163,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: i
     rows_ = materialise(sample.mapInArrow(vectors, ", ".join(["fold long", *[f"{y} int" for y in names], "x array<double>"])))
     for i, y in enumerate(names):
         data = rows_.select("*", array_to_vector("x").alias("features"), F.col(y).cast("double").alias("label"))
-        truth = {r[0] for r in rows_.select(y).distinct().collect()}
+        sizes = {(r["fold"], r[y]): r["count"] for r in rows_.groupBy("fold", y).count().collect()}
+        truth = {t for _, t in sizes}
         if len(truth) < 2:
             chain.weights.append(np.zeros(len(chain.features) + SURFACE + i))
             chain.biases.append(500.0 if truth == {1} else -500.0)
@@ -170,6 +179,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: i
             parts = []
             for f in range(folds):
                 held, rest = data.where(F.col("fold") == f), data.where(F.col("fold") != f)
+                others = {t for g, t in sizes if g != f}
+                if len(others) < 2:
+                    share = float(others == {1}) if others else sum(n for (_, t), n in sizes.items() if t) / sum(sizes.values())
+                    parts.append(held.select("fold", *names, F.concat("x", F.array(F.lit(share))).alias("x")))
+                    continue
                 fold_model = learner.fit(rest)
                 parts.append(fold_model.transform(held).select("fold", *names, F.concat("x", F.array(vector_to_array("p")[1])).alias("x")))
             out = parts[0]
@@ -196,7 +210,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """docs with p_low_quality, p_toxic and is_toxic: p_toxic >= threshold.
 
     A null or empty text has no features and is not toxic. Rows that repeat are scored alike. Labels without a doc_id, or
-    of no document, are not used; of several labels of a doc_id one is.
+    of no document, are not used; a doc_id is of each category that one of its labels is of.
     """
     scored = score(docs.drop("is_toxic"), fit_chain(docs, labels))
     return scored.withColumn("is_toxic", (F.col("p_toxic") >= threshold) & (F.length(F.coalesce("text", F.lit(""))) > 0))

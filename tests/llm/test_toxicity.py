@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 
@@ -47,3 +49,36 @@ def test_odd_rows(spark, corpus, odd):
     assert len(rows) == odd.count() and not any(r["is_toxic"] for r in rows if not r["text"])
     assert set(got.columns) - set(odd.columns) == {"p_low_quality"}
     assert toxicity.drop_toxic(odd.limit(0), corpus[1]).count() == 0
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.mark.parametrize(("n", "classes"), [(1, 1), (2, 2), (3, 2)])
+def test_few_labelled_rows_in_one_fold(spark, docs, n, classes):
+    same = {i: "words that stand here as they are" for i in range(3)}  # equal texts are in one fold
+    labels = [(i, i % classes, (i + 1) % classes) for i in range(n)]
+    got = toxicity.toxicity(docs(same), spark.createDataFrame(labels, LABELS)).collect()
+    assert len(got) == 3 and all(0 <= r["p_toxic"] <= 1 for r in got)
+
+
+def test_conflicting_labels_and_repeated_documents(spark, docs):
+    df = docs([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (3, None)])
+    sample = toxicity.labelled_sample(df, spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, None, None), (3, 0, 1)], LABELS), toxicity.CATEGORIES, 100)
+    assert sorted((r["text"], r["y_low_quality"], r["y_toxic"]) for r in sample.collect()) == [("a", 1, 1), ("c", 0, 0)]
+
+
+def test_probabilities_equal_the_plain_sums(spark, corpus):
+    docs, labels = corpus
+    chain = toxicity.fit_chain(docs, labels)
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for r in toxicity.score(docs.where("doc_id % 29 = 0"), chain).collect():
+        words = set(re.findall(r"[a-z0-9]+", r["text"].lower()))
+        present = [float(any((w if not k else w[:k]) == f.decode() for w in words)) for k, f in chain.features]
+        text = r["text"]
+        own = re.findall(r"[a-z0-9]+", text)
+        shares = [0.0, text.count("|") / len(text), 0.0, 0.0, sum(a == b for a, b in zip(own, own[1:])) / len(own), 0.0]
+        x = present + shares
+        first = sigmoid(sum(w * v for w, v in zip(chain.weights[0], x)) + chain.biases[0])
+        second = sigmoid(sum(w * v for w, v in zip(chain.weights[1], [*x, first])) + chain.biases[1])
+        assert abs(r["p_low_quality"] - first) < 1e-9 and abs(r["p_toxic"] - second) < 1e-9
