@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tessella.llm import chat, decontamination, embeddings, language, licenses, mixing, pii, simhash, substrings, toxicity
 from tessella.session import table
 
@@ -49,7 +48,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), with_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +57,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository, which only this query needs
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _license_sql() -> str:
     pairs = ", ".join(f"({i}, '{label}', {str(base).lower()}, {len(w) - 1}, {p}, '{w[p]}', '{w[p + 1]}')" for i, label, base, w in licenses.templates() for p in range(len(w) - 1))
     return f"""
@@ -82,7 +87,7 @@ def _license_sql() -> str:
 
 
 _MIXING_SQL = r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, '')) as key from documents),
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as key from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [5, 2, 1][((row_number() over (order by source is null, source) - 1) % 3 + 1)::int] as weight from s),
 r as (select *, source_size * 3 as cap, row_number() over o as rk,
@@ -146,7 +151,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 ORACLE_SQL = {
     "op3_license_scan": _license_sql(),

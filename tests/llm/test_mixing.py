@@ -37,6 +37,22 @@ def test_reruns_and_partitionings_agree(docs):
     assert a == b
 
 
+def test_equal_ids_and_equal_rows_meet_the_target(spark, docs):
+    some = [(i, "w " * 10) for i in range(60)]
+    for rows in (
+        [(None, "w " * 19) for _ in range(100)],
+        [(7, f"a{i} " * 19) for i in range(100)],
+        [(None, f"a{i} " * (1 + i % 30)) for i in range(100)],
+        [(7, "w " * 19) for _ in range(100)],
+    ):
+        df = docs(rows).withColumn("source", mixing.F.lit("s2")).unionByName(docs(some).withColumn("source", mixing.F.lit("s1"))).unionByName(docs(some[:30]).withColumn("source", mixing.F.lit("s3")))
+        got = totals(mixing.mix(df))
+        assert mixing.mix(df).count() == df.count()
+        assert all(round(target) == taken for _, taken, target in got.values())
+        slim = sorted((str(r["doc_id"]), r["taken"]) for r in mixing.mix(df, with_text=False).collect())
+        assert slim == sorted((str(r["doc_id"]), r["taken"]) for r in mixing.mix(df.repartition(5)).collect())
+
+
 def test_odd_rows(odd):
     got = mixing.mix(odd)
     rows = got.collect()
