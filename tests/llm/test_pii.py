@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,12 +61,64 @@ def test_context_discovers_unseen_identifiers(docs):
     assert got[20] == "email:30:41" and got[21] == ""
 
 
-def test_secrets_are_seeds_and_their_contexts_find_others(docs):
-    seen = {i: f'x{i} token = "{i:040x}a1" and password={i:016x}b2 here' for i in range(8)}
-    more = {20: 'y token = "zz-778899" and password=Tr0ub4dor12 here', 21: "page 1234567 of 99999"}
-    got = {r["doc_id"]: r for r in pii.personal_data(docs(seen | more)).collect()}
-    assert got[20]["spans"] == "secret:11:20,secret:35:46" and got[21]["spans"] == ""
-    assert got[3]["spans"].count("secret:") == 2 and got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+def test_secrets_come_from_their_contexts(docs):
+    rng = random.Random(2)
+    key = lambda: f"{rng.getrandbits(160):040x}"
+    planted = {i: f'x{i} token = "{key()}" and so on' for i in range(40)} | {40: "and password=Tr0ub4dor12 here", 41: '{"api_key": "zz-778899"}'}
+    clean = {100 + i: f"commit {key()} of file {key()} with page {rng.randrange(10**7)}" for i in range(40)}
+    got = {r["doc_id"]: r for r in pii.personal_data(docs(planted | clean)).collect()}
+    assert all(got[i]["spans"].startswith("secret:") for i in planted) and not any(got[i]["spans"] for i in clean)
+    assert got[40]["spans"] == "secret:13:24" and got[41]["spans"] == "secret:13:22"
+    assert got[3]["spans"] == "secret:12:52" and got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_contexts_reach_over_earlier_matches(spark, docs):
+    rows = pii.raw_spans(docs({1: "to a@b.cd e@f.gh, i@j.kl now"}), ("doc_id",)).where("kind = 'email'").orderBy("start").collect()
+    assert [(r["left"], r["right"]) for r in rows] == [("to ", " e@f.gh"), ("to a@b.cd ", ", i@j.kl"), ("to a@b.cd e@f.gh, ", " now")]
+
+
+def plain_graph(edges):
+    """instance to kind, from (pattern, instance, seed or None), by plain loops."""
+    size, known = Counter(p for p, _, _ in set(edges)), {}
+    given = {p for p, _, s in edges if s is None and re.search(pii.SEED_PATTERN, p)}
+    while True:
+        confidence = {}
+        for p in size:
+            scores = {}
+            for q, i, s in set(edges):
+                if q == p:
+                    for kind, score in [(s, 1.0)] if s else known.get(i, {}).items():
+                        scores.setdefault(kind, []).append(score)
+            confidence[p] = {k: sum(v) / (size[p] + 1) for k, v in scores.items() if len(v) >= pii.MIN_SEEDS and sum(v) / (size[p] + 1) >= pii.MIN_CONFIDENCE}
+            if p in given:
+                confidence[p][pii.SECRET] = max(confidence[p].get(pii.SECRET, 0), pii.SEED_CONFIDENCE)
+        new = {}
+        for i in {i for _, i, s in edges if s is None}:
+            for kind in {k for c in confidence.values() for k in c}:
+                miss = 1.0
+                for p in {p for p, j, s in edges if j == i and s is None}:
+                    miss *= 1 - confidence[p].get(kind, 0)
+                if 1 - miss >= pii.ACCEPT:
+                    new.setdefault(i, {})[kind] = 1 - miss
+        if sum(map(len, new.values())) == sum(map(len, known.values())):
+            return {i: max(kinds, key=lambda k: (kinds[k], k)) for i, kinds in new.items()}
+        known = new
+
+
+def test_graph_equals_plain_loops(spark):
+    rng = random.Random(8)
+    edges = set()
+    for chain in range(6):  # what one step accepts makes the next step's patterns confident
+        for step in range(5):
+            for i in range(8):
+                for k in range(2):
+                    edges.add((f"2:p{chain}-{step}-{k}", f"{chain}-{step}-{i}" if step else f"s{chain}-{i}", None if step else "email"))
+                    edges.add((f"2:p{chain}-{step}-{k}", f"{chain}-{step + 1}-{i % 3}", None))
+    edges |= {("2:x token =", f"t{i}", None) for i in range(3)} | {(f"2:r{rng.randrange(9)}", f"n{i}", rng.choice((None, "ip"))) for i in range(60)}
+    want = plain_graph(edges)
+    assert len(want) > 20
+    df = spark.createDataFrame(sorted(edges, key=str), "pattern string, instance string, seed string")
+    assert {r["instance"]: r["kind"] for r in pii.score_graph(df).collect()} == want
 
 
 def test_redaction(docs):
