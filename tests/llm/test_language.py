@@ -17,8 +17,7 @@ def test_code_lengths_are_those_of_the_recursion():
     text = "abracadabra abracadabra"
     s = language.symbols_of(text)
     codes = language.contexts_of(s).astype("int64") * language.SYMBOLS + s[language.ORDER :]
-    grams = {"x": language.summed(codes, None)}
-    trees = language.Trees(["x"], grams)
+    trees = language.Trees({"x": language.summed(codes, None)}, min_seen=1)
     seq = s.tolist()
 
     def p(context, symbol):
@@ -35,7 +34,7 @@ def test_code_lengths_are_those_of_the_recursion():
 
     other = language.symbols_of("cadabra zebra").tolist()
     want = -sum(math.log2(p(tuple(other[i - 3 : i]), other[i])) for i in range(3, len(other)))
-    assert abs(trees.lengths("cadabra zebra")[0] - want) < 1e-3
+    assert abs(trees.lengths("cadabra zebra")["x"] - want) < 1e-3
 
 
 def test_odd_rows(odd):
@@ -45,3 +44,21 @@ def test_odd_rows(odd):
     nothing = language.language_id(odd.withColumn("lang", language.F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
     assert language.language_id(odd.limit(0)).count() == 0
+
+
+def test_passes_and_query_equal_plain_comparison(spark):
+    docs = table(spark, SMALL, "documents")
+    grams = language.count_grams(docs.where(~language.held_out()))
+    trees = language.Trees(grams)
+    want = {}
+    for r in docs.collect():
+        bits = trees.lengths(r["text"])
+        best = min(bits, key=lambda lang: (bits[lang], lang))
+        want[r["doc_id"]] = (best, round(1 / sum(2.0 ** -min(b - bits[best], 1000) for b in bits.values()), 9))
+    for got in (language.identify(docs, grams), language.identify(docs, grams, a_pass=1), queries.QUERIES["op6_language_id"](spark, SMALL)):
+        assert {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in got.collect()} == want
+
+
+def test_numbers_are_no_letters(spark, docs):
+    got = language.language_id(docs({1: "½ ² ①", 2: "3.5 !", 3: "ª", 4: "ein Wort"})).collect()
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in got} == {1: True, 2: True, 3: False, 4: False}
