@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,8 +57,8 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, byt
 
 
 def text_mark(text: str | None) -> int:
-    """Tells rows of one doc_id with different texts apart."""
-    return zlib.crc32((text or "").encode("utf-8", "surrogatepass")) - (1 << 31)
+    """Tells rows of one doc_id with different texts apart: the 64 bits that Spark's xxhash64 gives."""
+    return int.from_bytes(xxhash.xxh64_digest((text or "").encode("utf-8", "surrogatepass"), 42), "big", signed=True)
 
 
 def kept_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -77,9 +78,9 @@ def kept_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     if digest is not None:
                         own.setdefault(digest, i)
                 rows.extend((doc_id, text_mark(text), i, digest) for digest, i in own.items())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["id", "mark", "unit", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["id", "mark", "unit", "digest"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(mark, "id long, mark int, unit int, digest binary")
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(mark, "id long, mark long, unit int, digest binary")
     first = found.groupBy("digest").agg(F.min(F.struct("id", "mark", "unit")).alias("r"))
     return first.groupBy(F.col("r.id").alias("_id"), F.col("r.mark").alias("_mark")).agg(F.collect_list("r.unit").alias("_kept"))
 
@@ -92,7 +93,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     docs = docs.drop("n_units", "n_removed", "removed")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    marked = docs.withColumn("_text_mark", (F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")) - (1 << 31)).cast("int"))
+    marked = docs.withColumn("_text_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = kept_units(docs, min_words)
     joined = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark")), "left").drop("_id", "_mark", "_text_mark")
     names = docs.columns

@@ -18,6 +18,29 @@ def test_query_equals_brute_force(spark):
         assert (got[r["doc_id"]]["text"], got[r["doc_id"]]["removed_spans"]) == (text, ",".join(gone))
 
 
+def test_what_goes_stood_before_and_the_rest_stays(spark):
+    """Without the library's own units: removed words stand in a row earlier in the corpus, and text less removed spans is what stays."""
+    rows = sorted(table(spark, SMALL, "documents").collect(), key=lambda r: r["doc_id"])
+    got = {r["doc_id"]: r for r in queries.QUERIES["op8_substring_dedup"](spark, SMALL).collect()}
+    before, removed = " ", 0
+    for r in rows:
+        text, out, at = r["text"], "", 0
+        for a, b in (map(int, s.split(":")) for s in got[r["doc_id"]]["removed_spans"].split(",") if s):
+            own = " ".join(text[a:b].lower().split())
+            assert f" {own} " in before + " ".join(text[:a].lower().split()) + " "
+            out, at, removed = out + text[at:a], b, removed + 1
+        assert got[r["doc_id"]]["text"] == out + text[at:]
+        before += " ".join(text.lower().split()) + " \x00 "
+    assert removed > 50
+
+
+def test_rows_of_one_id_with_other_texts(docs):
+    one, two = "the first text of this id stands here", "the second text of this id stands here"
+    got = [(r["text"], r["n_removed"]) for r in substrings.dedup_substrings(docs([(1, one), (1, two), (1, one), (2, two)])).collect()]
+    assert sorted(got) == sorted([(one, 0), (one, 0), (two, 0), ("", 1)])
+    assert substrings.text_mark("é x") == docs([(1, "é x")]).selectExpr("xxhash64(text) as h").first()["h"]
+
+
 def test_units_leave_nothing_out():
     for text in ("", "a", "one two three four five. Six seven. eight nine ten.\r\n\nlast", "x. y. z. w. v. u. t. s.", "\n\n"):
         parts = list(substrings.units(text))
