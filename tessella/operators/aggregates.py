@@ -15,6 +15,26 @@ def by_rule(df: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[RULES[rule](c).alias(c) for c, rule in rules.items()])
 
 
+def multi_rule(df: DataFrame, keys: list[str], rules: dict[str, tuple[str, str]]) -> DataFrame:
+    """One aggregation: out to (rule, column); first takes the least value that is not null, so that reruns agree."""
+    return df.groupBy(*keys).agg(*[(F.min if rule == "first" else RULES[rule])(c).alias(out) for out, (rule, c) in rules.items()])
+
+
+def mean_with_attributes(df: DataFrame, keys: list[str], values: list[str], attributes: list[str]) -> DataFrame:
+    """Means of the values, and of each attribute the least value that is not null."""
+    return multi_rule(df, keys, {c: ("mean", c) for c in values} | {c: ("first", c) for c in attributes})
+
+
+def damped(raw: str, cells: str) -> Column:
+    """A score over the root of the number of cells that share it."""
+    return F.col(raw) / F.sqrt(F.col(cells))
+
+
+def weighted_if_known(score: str, weight: str) -> Column:
+    """score * (1 + weight) where the weight is above 0, else the score."""
+    return F.when(F.col(weight) > 0, F.col(score) * (1 + F.col(weight))).otherwise(F.col(score))
+
+
 def rule_by_name(columns: list[str]) -> dict[str, str]:
     """max for columns whose name holds 'risk', else sum."""
     return {c: "max" if "risk" in c else "sum" for c in columns}

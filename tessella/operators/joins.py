@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import BROADCAST_ROWS
+
 
 def dense_left_join(panel: DataFrame, features: DataFrame, keys: list[str], zero_fill: list[str] = ()) -> DataFrame:
     """Features on the panel's keys; flow columns get 0 where there is no record."""
@@ -81,8 +83,11 @@ def cascade_lookup(df: DataFrame, levels: list[tuple[DataFrame, list[str], str]]
 def substring_match(names: DataFrame, known: DataFrame, name: str, known_name: str, weight: str, rank: str, default: float = 0.0) -> DataFrame:
     """Weight of the known name that equals the name, or else of the first by rank that contains it or is contained in it.
 
-    Distinct names are matched once each. known is a dictionary of bounded size (checked by the caller), which is broadcast.
+    Distinct names are matched once each. known is a dictionary: more than BROADCAST_ROWS entries are refused, as every name
+    would be compared with each of them.
     """
+    if known.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} known names")
     n, k = F.col(name), F.col(known_name)
     distinct = names.select(name).where(n.isNotNull() & (n != "")).distinct()
     pairs = distinct.join(F.broadcast(known), F.contains(n, k) | F.contains(k, n))

@@ -34,7 +34,8 @@ def top_percent(df: DataFrame, partition: str, c: str, tie: str, percent: float,
 
 def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """A fixed share of the keys, the same on every run and in every partitioning."""
-    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return df.where(place % 1_000_000 < int(fraction * 1_000_000))
 
 
 def split_weights(df: DataFrame, split: Column, parts: dict[str, float], name: str, value: str) -> DataFrame:

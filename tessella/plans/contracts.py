@@ -26,10 +26,10 @@ def in_range(df: DataFrame, c: str, low: float, high: float) -> DataFrame:
     return _row(df, f"{c} within {low:g} and {high:g}", F.count_if(~F.col(c).between(low, high)), lambda x: x == 0)
 
 
-def gaps(df: DataFrame, date: str, most_days: int) -> DataFrame:
-    """(date, next_date, days) where the next date is more than so many days away; of the distinct dates."""
-    ahead = F.lead(date).over(Window.orderBy(date))
-    return df.select(date).distinct().withColumn("next_date", ahead).withColumn("days", F.datediff("next_date", date)).where(F.col("days") > most_days)
+def gaps(df: DataFrame, date: str, most_days: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, date, next_date, days) where the next date is more than so many days away; of the distinct dates."""
+    ahead = F.lead(date).over((Window.partitionBy(*by) if by else Window).orderBy(date))
+    return df.select(*by, date).distinct().withColumn("next_date", ahead).withColumn("days", F.datediff("next_date", date)).where(F.col("days") > most_days)
 
 
 def alignment(df: DataFrame, date: str, days: int) -> DataFrame:
@@ -51,9 +51,9 @@ def float_like_integers(df: DataFrame, c: str) -> DataFrame:
 
 
 def score_range(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, low, high, all_zero) of score columns."""
-    rows = [df.agg(F.lit(c).alias("column"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), F.coalesce(F.max(F.abs(c)) == 0, F.lit(True)).alias("all_zero")) for c in columns]
-    return reduce(DataFrame.unionByName, rows)
+    """(column, low, high, all_zero) of score columns, in one pass."""
+    found = [F.struct(F.lit(c).alias("column"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), F.coalesce(F.max(F.abs(c)) == 0, F.lit(True)).alias("all_zero")) for c in columns]
+    return df.agg(F.array(*found).alias("r")).select(F.inline("r"))
 
 
 def null_report(df: DataFrame, expected: dict[str, float], tolerance: float = 0.05) -> DataFrame:
@@ -80,8 +80,8 @@ def all_checks(checks: list[DataFrame]) -> DataFrame:
 
 def structural_flags(df: DataFrame, flags: list[str], date: str = "date") -> DataFrame:
     """(flag, share, first_date) of 0/1 columns: how often each is 1, and since when."""
-    rows = [df.agg(F.lit(f).alias("flag"), F.avg((F.col(f) == 1).cast("int")).alias("share"), F.min(F.when(F.col(f) == 1, F.col(date))).alias("first_date")) for f in flags]
-    return reduce(DataFrame.unionByName, rows)
+    found = [F.struct(F.lit(f).alias("flag"), F.avg((F.col(f) == 1).cast("int")).alias("share"), F.min(F.when(F.col(f) == 1, F.col(date))).alias("first_date")) for f in flags]
+    return df.agg(F.array(*found).alias("r")).select(F.inline("r"))
 
 
 def selected_columns(columns: list[str], include: list[str] = (), exclude: list[str] = (), pattern: str | None = None) -> list[str]:

@@ -61,10 +61,10 @@ def geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.to_geojson_rows(s, "lat", "lon")
 
 
-@query("gap_check", "with d as (select distinct date_trunc('week', o_orderdate)::date as date from orders where o_orderkey % 40 = 0) select date, next_date, (next_date - date)::int as days from (select date, lead(date) over (order by date) as next_date from d) x where next_date - date > 7")
+@query("gap_check", "with d as (select distinct o_custkey, date_trunc('week', o_orderdate)::date as date from orders) select o_custkey, date, next_date, (next_date - date)::int as days from (select o_custkey, date, lead(date) over (partition by o_custkey order by date) as next_date from d) x where next_date - date > 7")
 def gap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select(F.trunc("o_orderdate", "week").alias("date"))
-    return C.gaps(weeks, "date", 7)
+    weeks = table(spark, sf_dir, "orders").select("o_custkey", F.trunc("o_orderdate", "week").alias("date"))
+    return C.gaps(weeks, "date", 7, ("o_custkey",))
 
 
 @query("step_alignment", f"with {P.ORDER_FLOW_SQL} select count(distinct date) as n_dates, floor((max(date) - min(date)) / 14.0 + 1)::bigint as n_expected, count(distinct date) = floor((max(date) - min(date)) / 14.0 + 1)::bigint as aligned from fl")

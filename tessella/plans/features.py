@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.repair import year_range
+from tessella.session import materialise, small
 from tessella.operators import aggregates as A
 from tessella.operators import binning as B
 from tessella.operators import decay as D
@@ -166,7 +167,7 @@ def local_prices(panel: DataFrame, prices: DataFrame | None, cells: DataFrame, m
     wide = A.pivot(prices, ["market", "date"], "good", goods, "value").withColumnsRenamed({g: f"price_{g}" for g in goods})
     nearest = X.nearest_point(cells, markets, "cell", "market").select("cell", "market")
     w = W.over_cell()
-    panel = panel.join(F.broadcast(nearest), "cell", "left").join(wide, ["market", "date"], "left").drop("market")
+    panel = panel.join(small(materialise(nearest)), "cell", "left").join(wide, ["market", "date"], "left").drop("market")
     panel = panel.withColumns({c: W.forward_fill(c, w, 8) for c in columns})
     for c in columns:
         panel = W.recency(panel, c, f"{c}_recency")
@@ -223,9 +224,10 @@ def land_cover(panel: DataFrame, fractions: DataFrame | None, columns: list[str]
     return panel.withColumn("land_cover_available", W.availability_flag(F.col("date"), since, columns))
 
 
-# The two scales of a group's political status.
-STATUS_SCALE = {"MONOPOLY": 5, "DOMINANT": 4, "SENIOR PARTNER": 3, "JUNIOR PARTNER": 2, "POWERLESS": 1, "SELF-EXCLUSION": -1, "DISCRIMINATED": 0, "IRRELEVANT": -2}
-EXCLUDED = ("POWERLESS", "DISCRIMINATED", "SELF-EXCLUSION")
+# The two scales of a group's political status, that of the records and that of the yearly figures (others: -2), and who is excluded.
+RECORD_SCALE = {"MONOPOLY": 5, "DOMINANT": 4, "SENIOR PARTNER": 3, "JUNIOR PARTNER": 2, "POWERLESS": 1, "DISCRIMINATED": 0, "SELF-EXCLUSION": -1, "IRRELEVANT": -2}
+STATUS_SCALE = {"DOMINANT": 4, "SENIOR PARTNER": 3, "JUNIOR PARTNER": 2, "POWERLESS": 1, "DISCRIMINATED": 0, "SELF-EXCLUSION": 1, "IRRELEVANT": -2}
+EXCLUDED = ("DISCRIMINATED", "POWERLESS")
 
 
 def ethnicity(panel: DataFrame, groups: DataFrame, bridge: DataFrame, scale: dict[str, int] = STATUS_SCALE) -> DataFrame:

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.binning import value_bin
+from tessella.operators.ranges import running_sums
 
 
 def quantile_of(df: DataFrame, c: str, level: Column, by: list[str]) -> DataFrame:
     """(by, n, q): the quantile, linearly interpolated, at a level that may differ by group (an expression over n).
 
-    Spark's percentile takes constant levels only, so the two neighbours of the level's place are picked by row number.
+    Spark's percentile takes constant levels only, so the two values at the level's place are picked by running counts of
+    the distinct values, range by range.
     """
-    w = Window.partitionBy(*by)
-    placed = df.where(F.col(c).isNotNull()).withColumns({"_i": F.row_number().over(w.orderBy(c)) - 1, "n": F.count("*").over(w)})
-    placed = placed.withColumn("_at", level * (F.col("n") - 1))
-    weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_i") - F.col("_at")))
+    counts = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("_n"))
+    placed = running_sums(counts, {"_upto": "_n"}, [F.col(c)], by, {"n": "_n"}).withColumn("_at", level * (F.col("n") - 1))
+    share = F.col("_at") - F.floor("_at")
+    holds = lambda place: ((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n"))).cast("int")
+    weight = holds(F.floor("_at")) * (1 - share) + holds(F.ceil("_at")) * share
     return placed.groupBy(*by).agg(F.max("n").alias("n"), F.sum(weight * F.col(c)).alias("q"))
 
 

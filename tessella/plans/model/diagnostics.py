@@ -5,21 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import prefix_theme
+from tessella.operators.ranges import running_sums
 
 
 def ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Average ranks of each column, as r_<column>.
 
-    Values are counted first; ranks are running sums over the distinct values, joined back.
+    Values are counted first; ranks are running sums over the distinct values, range by range, joined back.
     """
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        df = df.join(counts.select(c, (before + (F.col("_n") + 1) / 2).alias(f"r_{c}")), c, "left")
+        upto = running_sums(counts, {"_upto": "_n"}, [F.col(c)])
+        df = df.join(upto.select(c, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"r_{c}")), c, "left")
     return df
 
 

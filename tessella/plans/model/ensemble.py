@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Iso
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ranges import numbered
 from tessella.session import materialise
 
 SEED = 42
@@ -75,7 +76,7 @@ class Hurdle:
         assembled = _assemble(x, self.themes)
         x = self.meta_class.transform(assembled).withColumn("prob", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
         if self.calibrator is not None:
-            x = self.calibrator.transform(x.withColumn("_score", F.col("prob"))).withColumn("prob", calibrated("prediction")).drop("prediction", "_score")
+            x = self.calibrator.apply(x, "prob")
         x = self.meta_count.transform(x).withColumn("mean_if_any", F.least(F.lit(500.0), F.greatest(F.lit(0.0), F.col("prediction"))))
         return x.withColumn("expected", expected(F.col("prob"), F.col("mean_if_any"))).select(*df.columns, "prob", "mean_if_any", "expected")
 
@@ -106,30 +107,74 @@ def _base_models(df: DataFrame, themes: list[Theme], target: str, linear: bool)
     return h
 
 
-def fit(df: DataFrame, themes: list[Theme], target: str, date: str, folds: int = 4, linear: bool = True, calibration: str = "none") -> Hurdle:
+def calibration_split(df: DataFrame, positive: str, order: list[str], method: str = "temporal_tail", fraction: float = 0.2, fallback: float = 0.3, least: int = 10, seed: int = SEED) -> DataFrame:
+    """df with _calibrate: whether a row is held out for calibration.
+
+    temporal_tail takes the last rows in order, random those of the least hash of the order columns, so many that int(n (1 -
+    fraction)) are left; where these hold fewer than `least` positives, fallback takes the fraction's place.
+    """
+    if method not in ("temporal_tail", "random"):
+        raise ValueError(f"unknown split {method}")
+    columns = [F.col(c) for c in order] if method == "temporal_tail" else [F.xxhash64(*order, F.lit(seed)), *map(F.col, order)]
+    rows = numbered(df, "_number", columns)
+    n = rows.count()
+    held = lambda share: F.col("_number") > int(n * (1 - share))
+    enough = rows.where(held(fraction)).agg(F.coalesce(F.sum(positive), F.lit(0))).first()[0] >= least
+    return rows.withColumn("_calibrate", held(fraction if enough else fallback)).drop("_number")
+
+
+class Calibrator:
+    """Of a probability: Platt's sigmoid or a step function that never falls, fitted on held-out rows; none with one class only."""
+
+    def __init__(self, scored: DataFrame, score: str, truth: str, method: str):
+        self.model, self.method = None, method
+        rows = scored.select(F.col(score).cast("double").alias("_score"), F.col(truth).cast("double").alias("_truth"))
+        if method not in ("sigmoid", "isotonic"):
+            raise ValueError(f"unknown calibration {method}")
+        if rows.select("_truth").distinct().count() < 2:
+            return
+        if method == "isotonic":
+            self.model = IsotonicRegression(featuresCol="_score", labelCol="_truth").fit(rows)
+        else:
+            x = VectorAssembler(inputCols=["_score"], outputCol="_x").transform(rows)
+            self.model = LogisticRegression(regParam=0.0, featuresCol="_x", labelCol="_truth").fit(x)
+
+    def apply(self, df: DataFrame, score: str) -> DataFrame:
+        if self.model is None:
+            return df
+        if self.method == "sigmoid":
+            z = F.lit(float(self.model.coefficients[0])) * F.col(score) + F.lit(float(self.model.intercept))
+            return df.withColumn(score, 1 / (1 + F.exp(-z)))
+        return self.model.transform(df.withColumn("_score", F.col(score))).withColumn(score, calibrated("prediction")).drop("prediction", "_score")
+
+
+def fit(df: DataFrame, themes: list[Theme], target: str, date: str, folds: int = 4, linear: bool = True, calibration: str = "none", split: str = "temporal_tail", fraction: float = 0.2) -> Hurdle:
     """Out-of-fold predictions over expanding blocks of dates train the meta models; base models are refitted on all rows.
 
-    linear takes logistic and Poisson models, else boosted trees. calibration: none, sigmoid or isotonic, on the meta
-    model's out-of-fold scores.
+    linear takes logistic and Poisson models, else boosted trees, for the meta model of counts too. calibration: none,
+    sigmoid or isotonic, fitted on out-of-fold rows that calibration_split keeps from the meta models.
     """
     columns = sorted({c for t in themes for c in t.features} | {target, date})
     data = materialise(date_folds(df.select(*columns), date, folds))
     out = []
     for f in range(1, folds):
         base = _base_models(data.where(F.col("_fold") < f), themes, target, linear)
-        out.append(base.base(data.where(F.col("_fold") == f)).select(target, *[f"p_{t.name}" for t in themes], *[f"m_{t.name}" for t in themes]))
+        out.append(base.base(data.where(F.col("_fold") == f)).select(target, date, *[f"p_{t.name}" for t in themes], *[f"m_{t.name}" for t in themes]))
     oof = out[0]
     for o in out[1:]:
         oof = oof.unionByName(o)
     oof = _assemble(materialise(oof), themes).withColumn("_any", (F.col(target) > 0).cast("double"))
+    held = None
+    if calibration != "none":
+        parts = materialise(calibration_split(oof.withColumn("_row", F.monotonically_increasing_id()), "_any", [date, "_row"], split, fraction).drop("_row"))
+        held, oof = parts.where("_calibrate"), parts.where("not _calibrate")
     h = _base_models(data, themes, target, linear)
     h.meta_class = LogisticRegression(regParam=0.1, featuresCol="meta_x", labelCol="_any").fit(oof)
-    h.meta_count = GeneralizedLinearRegression(family="poisson", link="log", regParam=0.1, maxIter=20, featuresCol="meta_x", labelCol=target).fit(oof.where(F.col(target) > 0))
-    if calibration == "isotonic":
-        scored = h.meta_class.transform(oof).withColumn("_score", vector_to_array("probability")[1])
-        h.calibrator = IsotonicRegression(featuresCol="_score", labelCol="_any").fit(scored.select("_score", "_any"))
-    elif calibration == "sigmoid":
-        h.meta_class = LogisticRegression(regParam=0.0, featuresCol="meta_x", labelCol="_any").fit(oof)
+    count = GeneralizedLinearRegression(family="poisson", link="log", regParam=0.1, maxIter=20, featuresCol="meta_x", labelCol=target) if linear else GBTRegressor(maxIter=20, maxDepth=4, seed=SEED, featuresCol="meta_x", labelCol=target)
+    h.meta_count = count.fit(oof.where(F.col(target) > 0))
+    if held is not None:
+        scored = h.meta_class.transform(held).withColumn("_score", vector_to_array("probability")[1])
+        h.calibrator = Calibrator(scored, "_score", "_any", calibration)
     return h
 
 
@@ -138,7 +183,7 @@ def permutation_importance(df: DataFrame, predict, metric, features: list[str],
     whole = metric(predict(df))
     out = {}
     for c in features:
-        by = lambda *order: df.select(*([key] if order == (key,) else []), c, F.row_number().over(Window.orderBy(*order)).alias("_i"))
-        dealt = by(key).drop(c).join(by(F.xxhash64(key, F.lit(c)), key), "_i").select(key, F.col(c))
+        by = lambda *order: numbered(df.select(key, c), "_i", list(order)).select(key, c, "_i")
+        dealt = by(F.col(key)).select(key, "_i").join(by(F.xxhash64(key, F.lit(c)), F.col(key)).select(c, "_i"), "_i").select(key, F.col(c))
         out[c] = whole - metric(predict(df.drop(c).join(dealt, key)))
     return out

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ranges import numbered, running_sums
+
 
 def roc_points(df: DataFrame, truth: str, score: str, by: list[str] = ()) -> DataFrame:
     """(by, threshold, tp, fp, tpr, fpr) for each distinct score, highest first.
 
-    Counts are summed per score before they are sorted, so the running sums are over distinct scores only.
+    Counts are summed per score before they are sorted, so the running sums are over distinct scores, range by range.
     """
     by = list(by)
     counts = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(truth).cast("long").alias("p"), F.sum(1 - F.col(truth)).cast("long").alias("n"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("threshold"))
-    up, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    points = counts.withColumns({"tp": F.sum("p").over(up), "fp": F.sum("n").over(up), "all_p": F.sum("p").over(whole), "all_n": F.sum("n").over(whole)})
+    points = running_sums(counts, {"tp": "p", "fp": "n"}, [F.desc("threshold")], by, {"all_p": "p", "all_n": "n"})
     return points.withColumns({"tpr": F.col("tp") / F.nullif(F.col("all_p"), F.lit(0)), "fpr": F.col("fp") / F.nullif(F.col("all_n"), F.lit(0))})
 
 
@@ -61,11 +61,10 @@ def binary_summary(df: DataFrame, truth: str, score: str, cut: float = 0.5) -> D
 def recall_in_top(df: DataFrame, truth: str, score: str, key: str, share: float = 0.1) -> DataFrame:
     """(k, recall, lift): of the positives, those within the first int(n * share) rows by score, then key.
 
-    The place of a row is its score's rank plus its rank among equal scores, so only ties are sorted together.
+    Rows are numbered range by range of (score, key), so ties are dealt out too.
     """
     total = df.agg(F.floor(F.count("*") * share).alias("k"), F.sum(truth).alias("positives"))
-    above = roc_points(df, truth, score).select("threshold", (F.col("tp") + F.col("fp") - F.col("p") - F.col("n")).alias("above"))
-    placed = df.join(above, F.col(score) == F.col("threshold")).withColumn("_r", F.row_number().over(Window.partitionBy(score).orderBy(key)) + F.col("above"))
+    placed = numbered(df, "_r", [F.desc(score), F.col(key)])
     found = placed.crossJoin(F.broadcast(total)).agg(F.max("k").alias("k"), F.sum(F.when(F.col("_r") <= F.col("k"), F.col(truth)).otherwise(0)).alias("hits"), F.max("positives").alias("positives"))
     return found.select("k", (F.col("hits") / F.col("positives")).alias("recall"), (F.col("hits") / F.col("positives") / share).alias("lift"))
 

@@ -121,7 +121,7 @@ def null_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("quantile_by_group", "select l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 4) as q90, round(quantile_cont(l_extendedprice, 0.5), 4) as q50, round(quantile_cont(l_extendedprice, 0.25), 4) as q25 from lineitem group by 1")
 def quantile_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[F.round(F.percentile("l_extendedprice", q), 4).alias(f"q{round(q * 100)}") for q in (0.9, 0.5, 0.25)])
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", [0.9, 0.5, 0.25]).alias("q")).select("l_returnflag", *[F.round(F.col("q")[i], 4).alias(name) for i, name in enumerate(("q90", "q50", "q25"))])
 
 
 @query("actor_lethality", "with t as (select event_type || '_' || user_id % 20 as actor, sum(user_id % 7 - 1)::bigint as total from events group by 1 having sum(user_id % 7 - 1) > 0) select actor, total, round(ln(1 + total) / max(ln(1 + total)) over (), 9) as lethality from t")
@@ -169,7 +169,7 @@ def union_split_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.split_weights(events, F.col("o_orderstatus") == "O", {"north": 0.612, "south": 0.388}, "o_orderstatus", "v")
 
 
-@query("hash_sample")
+@query("hash_sample", "select c_custkey, c_nationkey from customer where ('0x' || substr(md5('42:' || c_custkey::varchar), 1, 8))::bigint % 1000000 < 100000")
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the customers, by hash: sampling is the feature here."""
     return R.hash_sample(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", 0.1)
@@ -191,7 +191,7 @@ def norm_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("text_quality", r"""with t as (select doc_id, trim(coalesce(text, '')) as t from documents), n as (select *, case when t = '' then 0 else len(regexp_split_to_array(t, '[ \t\n\x0b\f\r]+')) end as n from t)
-    select doc_id, (case when n < 5 then 0.1 when regexp_matches(t, '(?i)no further information|unspecified|not reported') then 0.3 else least(1.0, greatest(0.1, n / 30.0)) end)::double as weight from n""")
+    select doc_id, (case when n < 5 then 0.1 when regexp_matches(t, '(?i)no additional information|as reported|according to sources|details are unclear|unconfirmed reports|no further details') then 0.3 else least(1.0, greatest(0.1, n / 30.0)) end)::double as weight from n""")
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.quality_weight(F.col("text")).alias("weight"))
 
@@ -288,9 +288,9 @@ def token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("w").alias("n_distinct"))
 
 
-@query("keyword_commodity", "select p_partkey, case when regexp_matches(lower(n), 'maize|corn') then 'maize' when regexp_matches(lower(n), 'rice') then 'rice' when regexp_matches(lower(n), 'oil') then 'oil' else 'other' end as commodity, case when starts_with(lower(p_type), 'standard') then 'plain' when starts_with(lower(p_type), 'pro') then 'raised' else 'other' end as theme from (select *, ['Yellow Corn ', 'RICE long ', 'Palm oil', 'salt'][(p_partkey % 4 + 1)::int] || p_name as n from part) x")
+@query("keyword_commodity", "select p_partkey, case when regexp_matches(lower(n), 'maize') then 'maize' when regexp_matches(lower(n), 'rice') then 'rice' when regexp_matches(lower(n), 'oil') then 'oil' else 'other' end as commodity, case when starts_with(lower(p_type), 'standard') then 'plain' when starts_with(lower(p_type), 'pro') then 'raised' else 'other' end as theme from (select *, ['Yellow Maize ', 'RICE long ', 'Palm oil', 'salt'][(p_partkey % 4 + 1)::int] || p_name as n from part) x")
 def keyword_commodity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefix = F.element_at(F.array(*map(F.lit, ("Yellow Corn ", "RICE long ", "Palm oil", "salt"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    prefix = F.element_at(F.array(*map(F.lit, ("Yellow Maize ", "RICE long ", "Palm oil", "salt"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     rules = {k: text.COMMODITIES[k] for k in ("maize", "rice", "oil")}
     return table(spark, sf_dir, "part").select("p_partkey", text.keyword(F.concat(prefix, "p_name"), rules, "other").alias("commodity"), text.prefix_theme(F.col("p_type"), {"standard": "plain", "pro": "raised"}).alias("theme"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder that driver and executors share, from spark.checkpoint.dir; without it, a local one in a local session only."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", master := spark.sparkContext.master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the executors of {master} share")
+    return LOCAL_CHECKPOINTS
 
 
 def materialise(df: DataFrame) -> DataFrame:

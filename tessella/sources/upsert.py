@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,38 +50,93 @@ def delete_before(df: DataFrame, date: str, cutoff: str) -> DataFrame:
 
 
 class VersionedTable:
-    """A Parquet table whose versions are folders; a small pointer file names the current one, so readers never see half a write."""
+    """A Parquet table as a list of folders that a manifest names; the newest manifest counts.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    Data folders and manifests are only ever added under new names, and a manifest is put in place by one rename when all
+    that it names is written. So a reader sees a whole version, and a writer that stops at any step leaves the last one.
+    With `partition`, an expression, each of its values has folders of its own, and an upsert rewrites the values that the
+    new rows have; a row must keep its value. The newest KEEP versions stay, for readers that have begun.
+    """
+
+    KEEP = 3
+
+    def __init__(self, spark: SparkSession, path: str, partition: str | None = None):
+        self.spark, self.path, self.partition = spark, path.rstrip("/"), partition
 
     def _fs(self):
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        pointer = hadoop.Path(f"{self.path}/CURRENT")
-        return hadoop, pointer, pointer.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        path = hadoop.Path(self.path)
+        return hadoop, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        hadoop, fs = self._fs()
+        at = hadoop.Path(f"{self.path}/{folder}")
+        return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _manifests(self) -> list[str]:
+        return [n for n in self._names("manifests") if n.endswith(".json")]
+
+    def _parts(self, manifest: str | None = None) -> dict[str, str]:
+        """Partition value to folder, of the newest manifest or the one named."""
+        names = [manifest] if manifest else self._manifests()
+        return json.loads(self.spark.read.text(f"{self.path}/manifests/{names[-1]}", wholetext=True).first()[0]) if names else {}
 
     def read(self) -> DataFrame | None:
-        _, pointer, fs = self._fs()
-        if not fs.exists(pointer):
-            return None
-        version = self.spark.read.text(f"{self.path}/CURRENT").first()[0]
-        return self.spark.read.parquet(f"{self.path}/{version}")
-
-    def replace(self, df: DataFrame, partition_by: list[str] = ()) -> None:
-        version = f"v{uuid.uuid4().hex}"
-        writer = df.write
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{version}")
-        hadoop, pointer, fs = self._fs()
-        written = hadoop.Path(f"{self.path}/_next")
-        out = fs.create(written, True)
-        out.write(bytearray(version.encode()))
+        parts = self._parts()
+        return self._of(parts) if parts else None
+
+    def _of(self, parts: dict[str, str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", True).parquet(*[f"{self.path}/{folder}" for folder in parts.values()])
+
+    def _write(self, df: DataFrame) -> dict[str, str]:
+        version = f"data/{uuid.uuid4().hex}"
+        if not self.partition:
+            df.write.parquet(f"{self.path}/{version}")
+            return {"": version}
+        df.withColumn("_part", F.coalesce(F.expr(self.partition).cast("string"), F.lit("none"))).write.partitionBy("_part").parquet(f"{self.path}/{version}")
+        return {name: f"{version}/{name}" for name in self._names(version) if name.startswith("_part=")}
+
+    def _publish(self, parts: dict[str, str]) -> None:
+        hadoop, fs = self._fs()
+        names = self._manifests()
+        number = int(names[-1].split("-")[0]) + 1 if names else 1
+        name = f"{number:012d}-{uuid.uuid4().hex}"
+        written, final = hadoop.Path(f"{self.path}/manifests/{name}.tmp"), hadoop.Path(f"{self.path}/manifests/{name}.json")
+        out = fs.create(written, False)
+        out.write(bytearray(json.dumps(parts).encode()))
         out.close()
-        fs.delete(pointer, False)
-        fs.rename(written, pointer)
+        if not fs.rename(written, final):
+            raise OSError(f"{final} can't be put in place")
+        self._clean()
+
+    def _clean(self) -> None:
+        """Drop manifests beyond the newest KEEP, and folders that only these name."""
+        hadoop, fs = self._fs()
+        names = self._manifests()
+        old, kept = names[: -self.KEEP], names[-self.KEEP :]
+        if not old:
+            return
+        used = {folder for n in kept for folder in self._parts(n).values()}
+        for n in old:
+            for folder in set(self._parts(n).values()) - used:
+                fs.delete(hadoop.Path(f"{self.path}/{folder}"), True)
+            fs.delete(hadoop.Path(f"{self.path}/manifests/{n}"), False)
+
+    def replace(self, df: DataFrame) -> None:
+        self._publish(self._write(df))
 
     def upsert(self, new: DataFrame, keys: list[str]) -> None:
+        """Merge new into the table by key; without a partition the whole table is written anew, else the touched values."""
         assert_unique(new, keys)
-        self.replace(merge(self.read(), new, keys))
+        parts = self._parts()
+        if not parts:
+            return self.replace(new)
+        if not self.partition:
+            return self.replace(merge(self._of(parts), new, keys))
+        value = F.concat(F.lit("_part="), F.coalesce(F.expr(self.partition).cast("string"), F.lit("none")))
+        touched = {r[0] for r in new.select(value).distinct().collect()} & parts.keys()
+        old = self._of({p: parts[p] for p in touched}) if touched else None
+        self._publish(parts | self._write(merge(old, new, keys)))
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def test_ethnicity(spark, panel):
     groups = spark.createDataFrame([(1, "MONOPOLY", 2020, 2024), (2, "POWERLESS", 2024, 2030), (3, "IRRELEVANT", 2000, 2030)], "group int, status string, first_year int, last_year int")
     bridge = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "group int, cell long")
     df = P.ethnicity(panel, groups, bridge)
-    assert series(df, "group_count")[0] == 2 and series(df, "excluded_count")[0] == 1 and series(df, "status_mean")[0] == 3
+    assert series(df, "group_count")[0] == 2 and series(df, "excluded_count")[0] == 1 and series(df, "status_mean")[0] == -0.5
     assert series(df, "status_mean", 2)[0] == -2
 
 

@@ -68,7 +68,7 @@ def test_normal_name(spark):
     assert {r["n"]: r["x"] for r in df.withColumn("x", text.normal_name(F.col("n"))).collect()} == names
 
 
-@pytest.mark.parametrize(("words", "extra", "want"), [(4, "", 0.1), (5, "", 5 / 30), (30, "", 1.0), (31, "", 1.0), (10, " not reported", 0.3), (0, "", 0.1)])
+@pytest.mark.parametrize(("words", "extra", "want"), [(4, "", 0.1), (5, "", 5 / 30), (30, "", 1.0), (31, "", 1.0), (10, " as reported", 0.3), (0, "", 0.1)])
 def test_quality_weight(spark, words, extra, want):
     t = " ".join(["word"] * words) + extra
     assert spark.createDataFrame([(t,)], "t string").select(text.quality_weight(F.col("t"))).first()[0] == pytest.approx(want)
@@ -118,6 +118,48 @@ def test_versioned_table(spark, tmp_path):
     assert values(t.read(), "k") == [(1, 2.0), (6, 1.0), (7, 2.0)]
 
 
+def test_versioned_table_survives_a_stop_at_any_step(spark, tmp_path, monkeypatch):
+    t = upsert.VersionedTable(spark, str(tmp_path / "t"))
+    t.upsert(spark.createDataFrame([(1, 1.0)], "k int, x double"), ["k"])
+    new = spark.createDataFrame([(2, 2.0)], "k int, x double")
+    for step in ("_publish", "_write", "_clean"):
+        with monkeypatch.context() as m:
+            m.setattr(upsert.VersionedTable, step, lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+            with pytest.raises(OSError):
+                t.upsert(new, ["k"])
+        assert (1, 1.0) in values(t.read(), "k")
+    (tmp_path / "t" / "manifests" / "999999999999-x.tmp").write_text("half a manifest")
+    t.upsert(new, ["k"])
+    assert values(t.read(), "k") == [(1, 1.0), (2, 2.0)]
+
+
+def test_upsert_leaves_untouched_partitions(spark, tmp_path):
+    t = upsert.VersionedTable(spark, str(tmp_path / "t"), partition="year(d)")
+    row = lambda k, y, x: (k, dt.date(y, 1, 2), x)
+    schema = "k int, d date, x double"
+    t.upsert(spark.createDataFrame([row(1, 2020, 1.0), row(2, 2021, 2.0)], schema), ["k", "d"])
+    before = t._parts()
+    for _ in range(5):
+        t.upsert(spark.createDataFrame([row(2, 2021, 5.0), row(3, 2022, 3.0)], schema), ["k", "d"])
+    after = t._parts()
+    assert after["_part=2020"] == before["_part=2020"] and after["_part=2021"] != before["_part=2021"]
+    assert values(t.read(), "k") == [row(1, 2020, 1.0), row(2, 2021, 5.0), row(3, 2022, 3.0)]
+    assert len(t._manifests()) == t.KEEP
+
+
+def test_running_sums_equal_plain_ones(spark):
+    from tessella.operators.ranges import numbered, running_sums
+
+    rows = [(g, i * 37 % 101, i % 7) for g in ("a", "b", None) for i in range(101)]
+    got = running_sums(spark.createDataFrame(rows, "g string, o int, v int"), {"s": "v"}, [F.desc("o")], ["g"], {"t": "v"}, ranges=5).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["s"] == sum(v for g, o, v in rows if g == r["g"] and o >= r["o"]) and r["t"] == sum(v for g, _, v in rows if g == r["g"])
+    plan = numbered(spark.range(1000), "n", [F.col("id")], ranges=7)
+    assert [r["n"] for r in plan.orderBy("id").collect()] == list(range(1, 1001))
+    assert "SinglePartition" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_incremental_window(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 10),)], "d date")
     a, b = dt.date(2024, 1, 1), dt.date(2024, 2, 1)

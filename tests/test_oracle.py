@@ -14,7 +14,7 @@ def test_same_rows(spark, duck, name):
     same_rows(QUERIES[name](spark, SMALL), duck.sql(ORACLE[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"hurdle_ensemble"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
