@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import components
+from tessella.llm.decontamination import grams
 from tessella.session import compact, materialise, small
 
 SHINGLE = 3
@@ -26,8 +27,14 @@ SIMILARITY = 0.8
 SKETCH = 1024
 BLOCK = 256
 PAIRS_BELOW = 32
+#: Members of a bucket that are met in one group; a larger bucket is dealt to blocks, and pairs of blocks to groups.
+BUCKET_ROWS = 1024
 #: Documents that common shingles are looked for in, how many of them have a common one, and how many are known at most.
-SAMPLE_DOCS, COMMON, COMMON_MOST = 20_000, 8, 50_000
+SAMPLE_DOCS, COMMON, COMMON_MOST = 5_000, 3, 50_000
+#: Bytes of each hash of a set that is compared: 48 bits.
+PACKED = 6
+#: Words whose hashes a Python worker holds, and texts named by one long that are broadcast at most.
+HELD_WORDS, NAMED_TEXTS = 200_000, 1_000_000
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -95,75 +102,98 @@ def near_links(prints: DataFrame) -> DataFrame:
     return around.join(least, "neighbour").where("fp > least").select("fp", "least").distinct()
 
 
+class Shingles:
+    """Sets of word shingles as sorted hashes: 64 bits from the XXH64 of the words, which are hashed once each."""
+
+    def __init__(self, shingle: int):
+        self.shingle, self.words = shingle, {}
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        if not words:
+            return np.zeros(0, np.int64)
+        if len(self.words) > HELD_WORDS:
+            self.words.clear()
+        for w in set(words):
+            if w not in self.words:
+                self.words[w] = xxhash.xxh64_intdigest(w, SEED)
+        ids = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        return np.unique(grams(ids, min(self.shingle, len(words))).view(np.int64))
+
+
+def least_overlap(n: int, similarity: float) -> int:
+    return int(np.ceil(similarity * n - 1e-9))
+
+
 def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     """Sorted shingles that many documents of a sample have. They only order the others, so what is missed costs time, not links."""
     share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Shingles(shingle)
         for b in batches:
             for t in b["text"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64))], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(sets.of(t.as_py()))], ["h"])
 
     sampled = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct().mapInArrow(split, "h long")
     rows = sampled.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(COMMON_MOST).collect()
     return np.sort(np.array([r["h"] for r in rows], np.int64))
 
 
-def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, fp, set_id (equal for equal sets; 0 for the empty one), hashes (sorted), keys and sketch of each row.
+def shingle_keys(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, text_id, set_id (equal for equal sets; 0 for the empty one), n, keys and sketch of each row; the sets themselves aren't kept.
 
     Of two sets of that similarity, each holds all but a fifth of the other at most, so they share one of their first
     len - ceil(similarity * len) + 1 shingles in any common order. Here common shingles come last.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
     common = common_shingles(docs, shingle)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Shingles(shingle)
         for b in batches:
-            prints, ids, sets, keys, sketches = [], [], [], [], []
+            ids, sizes, keys, sketches = [], [], [], []
             for t in b["text"]:
-                every = shingle_hashes(t.as_py(), shingle)
-                own = np.unique(every.view(np.int64))
-                first = own[np.argsort(np.isin(own, common), kind="stable")] if len(common) else own
+                own = sets.of(t.as_py())
+                frequent = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
+                first = np.concatenate((own[~frequent], own[frequent]))
                 bits = np.zeros(SKETCH, np.uint8)
                 bits[own.view(np.uint64) % np.uint64(SKETCH)] = 1
-                prints.append(majority(every))
                 ids.append(signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)) if len(own) else 0)
-                sets.append(own)
+                sizes.append(len(own))
                 keys.append(first[: len(own) - least_overlap(len(own), similarity) + 1] if len(own) else own)
                 sketches.append(np.packbits(bits).tobytes())
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(prints, pa.int64()), pa.array(ids, pa.int64()), pa.array(sets, lists), pa.array(keys, lists), pa.array(sketches, pa.binary())], ["doc_id", "fp", "set_id", "hashes", "keys", "sketch"])
-
-    return docs.mapInArrow(mark, "doc_id long, fp long, set_id long, hashes array<long>, keys array<long>, sketch binary")
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_id"], pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "text_id", "set_id", "n", "keys", "sketch"])
 
-
-def least_overlap(n: int, similarity: float) -> int:
-    return int(np.ceil(similarity * n - 1e-9))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), "text")
+    return rows.mapInArrow(mark, "doc_id long, text_id long, set_id long, n int, keys array<long>, sketch binary")
 
 
-def met_members(sets: DataFrame) -> DataFrame:
-    """key and members (set_id, n, sketch) of each first shingle that several sets have; of equal buckets, one."""
-    placed = sets.select("set_id", F.explode("keys").alias("key"))
-    met = placed.groupBy("key").agg(F.array_sort(F.collect_set("set_id")).alias("ids")).where(F.size("ids") > 1)
+def met_members(marked: DataFrame) -> DataFrame:
+    """key, i, j and members (set_id, n, sketch, text_id) of each first shingle that several sets have; of equal buckets, one."""
+    met = marked.select("set_id", F.explode("keys").alias("key")).groupBy("key").agg(F.array_sort(F.collect_set("set_id")).alias("ids")).where(F.size("ids") > 1)
     met = materialise(compact(met.groupBy(F.sha2(F.array_join("ids", ","), 256).alias("key")).agg(F.any_value("ids").alias("ids"))))
-    ids = small(materialise(compact(met.select(F.explode("ids").alias("set_id")).distinct())))
-    known = materialise(compact(sets.join(ids, "set_id").groupBy("set_id").agg(F.any_value(F.size("hashes")).alias("n"), F.any_value("sketch").alias("sketch"))))
-    return materialise(compact(met.select("key", F.explode("ids").alias("set_id")).join(known, "set_id")))
+    ids = small(materialise(compact(met.select(F.explode("ids").alias("set_id")).distinct())), NAMED_TEXTS)
+    columns = ("n", "sketch", "text_id")
+    known = materialise(compact(marked.join(ids, "set_id").groupBy("set_id").agg(*[F.any_value(c).alias(c) for c in columns])))
+    blocks = F.ceil(F.size("ids") / BUCKET_ROWS).cast("long")
+    dealt = met.select("key", blocks.alias("blocks"), F.explode("ids").alias("set_id")).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return materialise(compact(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id").join(known, "set_id")))
 
 
 def candidates(members: DataFrame, roots: DataFrame, refuted: DataFrame, similarity: float, most: int) -> DataFrame:
     """Pairs (a, b), a > b, of different roots in a bucket whose sizes and sketches allow the similarity and that weren't refuted.
 
     Small buckets list all of theirs, in others each set has `most` at most: later rounds see those that are then still apart.
+    Of the first round each set keeps the pair that may overlap most.
     """
-    known = members.join(small(roots), F.col("set_id") == F.col("node"), "left").join(refuted, F.col("set_id") == F.col("a"), "left")
-    grouped = known.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("set_id", "n", F.coalesce("root", "set_id").alias("root"), "sketch", "others"))).alias("m"))
+    known = members.drop("text_id").join(small(roots, NAMED_TEXTS), F.col("set_id") == F.col("node"), "left").join(refuted, F.col("set_id") == F.col("a"), "left")
+    grouped = known.groupBy("key", "i", "j").agg(F.array_sort(F.collect_list(F.struct("set_id", "n", F.coalesce("root", "set_id").alias("root"), "sketch", "others"))).alias("m"))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = set()
+            pairs = {}
             for m in batch["m"]:
                 m = m.as_py()
                 ids, n, root = (np.array([x[c] for x in m], np.int64) for c in ("set_id", "n", "root"))
@@ -178,58 +208,128 @@ def candidates(members: DataFrame, roots: DataFrame, refuted: DataFrame, similar
                     allowed = (overlap * (1 + similarity) >= similarity * both - 1e-9) & (root[i:to, None] != root[None, :to]) & np.tri(to - i, to, i - 1, bool)
                     for k in range(to - i):
                         out = set(m[i + k]["others"] or ())
-                        found = [int(j) for j in ids[:to][allowed[k]] if int(j) not in out]
-                        pairs.update((int(ids[i + k]), j) for j in (found if len(m) <= PAIRS_BELOW else found[:most]))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+                        found = [int(j) for j in np.flatnonzero(allowed[k]) if int(ids[j]) not in out]
+                        pairs.update(((int(ids[i + k]), int(ids[j])), int(overlap[k, j])) for j in (found if len(m) <= PAIRS_BELOW else found[:most]))
+            yield pa.RecordBatch.from_arrays([*[pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], pa.array(pairs.values(), pa.int64())], ["a", "b", "overlap"])
+
+    found = grouped.select("m").mapInArrow(pair, "a long, b long, overlap long")
+    if most == 1:
+        return found.groupBy("a").agg(F.max_by("b", F.struct("overlap", "b")).alias("b"))
+    return found.select("a", "b").distinct()
+
 
-    return grouped.select("m").mapInArrow(pair, "a long, b long").distinct()
+def wide_sketch(own: np.ndarray) -> bytes:
+    """A bitmap of two to four bits an element, a power of two in length, so that the bound holds for long texts too."""
+    bits = np.zeros(max(SKETCH, 1 << (2 * len(own)).bit_length()), np.uint8)
+    bits[own.view(np.uint64) % np.uint64(len(bits))] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def judge(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b and same (whether the Jaccard similarity is reached) of each pair."""
-    ids = small(materialise(compact(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())))
-    known = materialise(sets.join(ids, "set_id").groupBy("set_id").agg(F.any_value("hashes").alias("hashes")))
-    side = lambda c: known.select(F.col("set_id").alias(c), F.col("hashes").alias(f"_{c}"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    same = both >= (F.size("_a") + F.size("_b") - both) * F.lit(similarity) - F.lit(1e-9)
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", same.alias("same"))
+def most_overlap(a: bytes, b: bytes, n: int, m: int) -> int:
+    """What two sets of n and m elements have in common at most, by their wide sketches; the longer one is folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return min((n + m - int(np.bitwise_count(x ^ y).sum())) // 2, n, m)
 
 
-def similar_roots(sets: DataFrame, similarity: float) -> DataFrame:
+def judge(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """a, b and same (whether the Jaccard similarity is reached) of each pair; texts: set_id and text.
+
+    Only sets of these pairs are made, from their texts. Pairs first meet as wide sketches, which refute most; the others as
+    sorted hashes.
+    """
+    ids = small(materialise(compact(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())), NAMED_TEXTS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Shingles(shingle)
+        for b in batches:
+            every = [sets.of(t.as_py()) for t in b["text"]]
+            packed = [np.unique(own.view(np.uint64) >> np.uint64(64 - 8 * PACKED)).view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes() for own in every]
+            yield pa.RecordBatch.from_arrays([b["set_id"], pa.array([len(own) for own in every], pa.int32()), pa.array(map(wide_sketch, every), pa.binary()), pa.array(packed, pa.binary())], ["set_id", "n", "wide", "packed"])
+
+    def unpacked(b: bytes) -> np.ndarray:
+        x = np.zeros((len(b) // PACKED, 8), np.uint8)
+        x[:, :PACKED] = np.frombuffer(b, np.uint8).reshape(-1, PACKED)
+        return x.view(np.uint64).ravel()
+
+    enough = lambda both, n, m: both * (1 + similarity) >= similarity * (n + m) - 1e-9
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch[c].to_pylist() for c in ("wide_a", "wide_b", "n_a", "n_b"))
+            may = [enough(most_overlap(x, y, n, m), n, m) for x, y, n, m in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(may, pa.bool_())], ["a", "b", "may"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for p, q in zip(batch["packed_a"], batch["packed_b"]):
+                x, y = unpacked(p.as_py()), unpacked(q.as_py())
+                same.append(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(same, pa.bool_())], ["a", "b", "same"])
+
+    known = materialise(texts.join(ids, "set_id").select("set_id", "text").mapInArrow(pack, "set_id long, n int, wide binary, packed binary"))
+
+    def sides(of: DataFrame, *columns: str) -> DataFrame:
+        for c in ("a", "b"):
+            of = of.join(known.select(F.col("set_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]), c)
+        return of.select("a", "b", *[f"{x}_{c}" for x in columns for c in ("a", "b")])
+
+    bounded = materialise(compact(sides(pairs, "wide", "n").mapInArrow(bound, "a long, b long, may boolean")))
+    exact = sides(bounded.where("may").select("a", "b"), "packed").mapInArrow(compare, "a long, b long, same boolean")
+    return bounded.where("not may").select("a", "b", F.lit(False).alias("same")).unionByName(exact)
+
+
+def similar_roots(docs: DataFrame, marked: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(node, root) of the sets that others are similar to: components of all pairs of that Jaccard similarity.
 
     A round links sets that are still apart. The last one finds no pair that is apart, possible and not refuted, so all are exact.
     """
-    spark, members, most = sets.sparkSession, met_members(sets), 1
+    spark, members, most = marked.sparkSession, met_members(marked), 1
     judged = spark.createDataFrame([], "a long, b long, same boolean")
     roots = spark.createDataFrame([], "node long, root long")
+    texts = None
     while True:
         refuted = judged.where("not same").groupBy("a").agg(F.collect_list("b").alias("others"))
         pairs = materialise(compact(candidates(members, roots, refuted, similarity, most)))
         if pairs.isEmpty():
             return roots
-        judged = materialise(compact(judged.unionByName(judge(pairs, sets, similarity))))
+        if texts is None:  # those of the first round's pairs and of all that share a bucket with them
+            named = small(materialise(compact(members.select("set_id", "text_id").distinct())), NAMED_TEXTS)
+            texts = materialise(docs.select("text", F.xxhash64("text").alias("text_id")).join(named, "text_id").groupBy("set_id").agg(F.any_value("text").alias("text")))
+        judged = materialise(compact(judged.unionByName(judge(pairs, texts, similarity, shingle))))
         roots = components(judged.where("same"))
         most *= 4
 
 
-def near_duplicates(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float | None = SIMILARITY) -> DataFrame:
-    """doc_id, fp and component_id of each row: the smallest doc_id that links reach.
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp and component_id of each row: the smallest doc_id that links of fingerprints at 2 bits or fewer reach.
+
+    Rows with equal fingerprints, whatever their number, are one node from the start. Null and empty texts have fingerprint
+    0 and are one node; rows with a null doc_id are linked too but give no component_id (null if a component has no other);
+    repeated rows give a row each; no rows give none. Other columns are not read.
+    """
+    marked = materialise(fingerprints(docs, shingle))
+    return named(marked, "fp", lambda nodes: components(near_links(nodes), "fp", "least")).select("doc_id", "fp", "component_id")
+
+
+def similar_documents(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id of each row: the smallest doc_id that links reach, all pairs whose sets of word shingles have that Jaccard similarity.
 
-    Links are all pairs whose sets of word shingles have that Jaccard similarity or, without one, all pairs of fingerprints
-    at 2 bits or fewer. Rows with equal sets or fingerprints, whatever their number, are one node from the start. Null and
-    empty texts have fingerprint 0 and are one node; rows with a null doc_id are linked too but give no component_id (null if
-    a component has no other); repeated rows give a row each; no rows give none. Other columns are not read.
+    Rows of equal sets are one node from the start; texts without words are one node. Null doc_ids, repeated and no rows as in near_duplicates.
     """
-    if similarity is None:
-        marked = materialise(fingerprints(docs, shingle)).withColumn("node", F.col("fp"))
-    else:
-        marked = materialise(shingle_sets(docs, shingle, similarity)).withColumn("node", F.col("set_id"))
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    roots = components(near_links(nodes.withColumnRenamed("node", "fp")), "fp", "least") if similarity is None else similar_roots(marked, similarity)
-    nodes = materialise(compact(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
-    named = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.select("doc_id", "fp", "node").join(nodes.join(named, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+    marked = materialise(shingle_keys(docs, shingle, similarity))
+    return named(marked, "set_id", lambda _: similar_roots(docs, marked, similarity, shingle)).select("doc_id", "component_id")
+
+
+def named(marked: DataFrame, node: str, roots_of) -> DataFrame:
+    """marked with the component_id of its nodes; roots_of gives (node, root) of those that are linked."""
+    nodes = marked.groupBy(node).agg(F.min("doc_id").alias("first_id"))
+    roots = roots_of(nodes).withColumnRenamed("node", node)
+    nodes = materialise(compact(nodes.join(roots, node, "left").withColumn("root", F.coalesce("root", node))))
+    first = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return marked.join(nodes.join(first, "root").select(node, "component_id"), node)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -237,7 +337,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     If that doc_id has several rows, one of them stays.
     """
-    judged = materialise(compact(near_duplicates(docs)))
+    judged = materialise(compact(similar_documents(docs)))
     gone = judged.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null")
     dropped = small(materialise(compact(gone.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct())))
     kept = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_none": F.col("doc_id").isNull()}).join(dropped, ["_id", "_none"], "left_anti").drop("_id", "_none")

@@ -20,7 +20,7 @@ def test_stages_and_their_decisions(spark):
             bad = {r["doc_id"] for r in toxicity.toxicity(before, table(spark, SMALL, "labels")).where("is_toxic").collect()}
             assert {r["doc_id"] for r in before.collect()} - {r["doc_id"] for r in docs.collect()} == bad
         if name == "simhash_near_dedup":
-            want = {r["component_id"] for r in simhash.near_duplicates(before).collect()}
+            want = {r["component_id"] for r in simhash.similar_documents(before).collect()}
             assert {r["doc_id"] for r in docs.collect()} == want
         if name == "decontamination":
             assert decontamination.contamination(docs, table(spark, SMALL, "benchmark")).where("contaminated").count() == 0

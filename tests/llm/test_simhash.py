@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessella.llm import components, queries, simhash
@@ -76,7 +77,7 @@ def test_odd_rows(spark, odd):
 
 
 def test_empty(spark, odd):
-    assert simhash.near_duplicates(odd.limit(0)).count() == 0 == simhash.drop_near_duplicates(odd.limit(0)).count()
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0 == simhash.similar_documents(odd.limit(0)).count() == simhash.drop_near_duplicates(odd.limit(0)).count()
 
 
 def plain_similar(texts):
@@ -98,7 +99,9 @@ def plain_similar(texts):
     return {i: find(i) for i in sets}
 
 
-def test_stage_links_all_of_similarity_and_nothing_else(spark, docs):
+@pytest.mark.parametrize("rows", [simhash.BUCKET_ROWS, 8])
+def test_stage_links_all_of_similarity_and_nothing_else(spark, docs, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", rows)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(500)]
     texts = {}
@@ -111,7 +114,7 @@ def test_stage_links_all_of_similarity_and_nothing_else(spark, docs):
             texts[len(texts)] = " ".join(new)
     texts |= {900: None, 901: "", 902: "two words", 903: "Two  Words", 904: "three more words"}
     want = plain_similar(texts)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs(texts)).collect()}
     assert got == want
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs(texts)).collect()} == set(want.values())
 
@@ -121,3 +124,14 @@ def test_stage_drops_near_copies_beyond_two_bits(spark):
     assert (simhash.fingerprint(texts[2]) ^ simhash.fingerprint(texts[56])).bit_count() > 2
     both = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert [r["doc_id"] for r in simhash.drop_near_duplicates(both).collect()] == [2]
+
+
+def test_wide_sketches_never_understate_the_overlap():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n, m, both = rng.integers(1, 3000, 3)
+        both = min(n, m, both)
+        x = rng.integers(-(2**62), 2**62, n)
+        y = np.concatenate((x[:both], rng.integers(-(2**62), 2**62, m - both)))
+        assert simhash.most_overlap(simhash.wide_sketch(x), simhash.wide_sketch(y), n, m) >= both
+    assert simhash.most_overlap(simhash.wide_sketch(x), simhash.wide_sketch(-x), n, n) < 0.6 * n
