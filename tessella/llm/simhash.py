@@ -27,6 +27,8 @@ SIMILARITY = 0.8
 SKETCH = 1024
 BLOCK = 256
 PAIRS_BELOW = 32
+#: Partners of a set in a larger bucket in the second round; each later one has that many times as many.
+FIRST_MOST = 64
 #: Members of a bucket that are met in one group; a larger bucket is dealt to blocks, and pairs of blocks to groups.
 BUCKET_ROWS = 1024
 #: Documents that common shingles are looked for in, how many of them have a common one, and how many are known at most.
@@ -185,37 +187,61 @@ def met_members(marked: DataFrame) -> DataFrame:
 def candidates(members: DataFrame, roots: DataFrame, refuted: DataFrame, similarity: float, most: int) -> DataFrame:
     """Pairs (a, b), a > b, of different roots in a bucket whose sizes and sketches allow the similarity and that weren't refuted.
 
-    Small buckets list all of theirs, in others each set has `most` at most: later rounds see those that are then still apart.
-    Of the first round each set keeps the pair that may overlap most.
+    With most = 0, each set meets but the smallest of a bucket and the one before it by size, and keeps the pair that may overlap
+    most: that links groups of copies without comparing all of them. Else sets outside of a bucket's largest root meet those of
+    other roots that sizes allow, and each has `most` of them at most: later rounds see those that are then still apart.
     """
     known = members.drop("text_id").join(small(roots, NAMED_TEXTS), F.col("set_id") == F.col("node"), "left").join(refuted, F.col("set_id") == F.col("a"), "left")
-    grouped = known.groupBy("key", "i", "j").agg(F.array_sort(F.collect_list(F.struct("set_id", "n", F.coalesce("root", "set_id").alias("root"), "sketch", "others"))).alias("m"))
+    known = known.withColumn("root", F.coalesce("root", "set_id"))
+    grouped = known.groupBy("key", "i", "j").agg(F.array_sort(F.collect_list(F.struct("n", "set_id", "root", "sketch", "others"))).alias("m"), F.min("root").alias("_least"), F.max("root").alias("_most"))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = {}
             for m in batch["m"]:
-                m = m.as_py()
-                ids, n, root = (np.array([x[c] for x in m], np.int64) for c in ("set_id", "n", "root"))
-                bits = np.frombuffer(b"".join(x["sketch"] for x in m), np.uint64).reshape(len(m), -1)
-                for i in range(0, len(m), BLOCK):
-                    to = min(i + BLOCK, len(m))
-                    apart = np.zeros((to - i, to), np.int64)
-                    for w in range(bits.shape[1]):
-                        apart += np.bitwise_count(bits[i:to, None, w] ^ bits[None, :to, w])
-                    both = n[i:to, None] + n[None, :to]
-                    overlap = np.minimum((both - apart) // 2, np.minimum(n[i:to, None], n[None, :to]))
-                    allowed = (overlap * (1 + similarity) >= similarity * both - 1e-9) & (root[i:to, None] != root[None, :to]) & np.tri(to - i, to, i - 1, bool)
-                    for k in range(to - i):
-                        out = set(m[i + k]["others"] or ())
-                        found = [int(j) for j in np.flatnonzero(allowed[k]) if int(ids[j]) not in out]
-                        pairs.update(((int(ids[i + k]), int(ids[j])), int(overlap[k, j])) for j in (found if len(m) <= PAIRS_BELOW else found[:most]))
+                ids, n, root = (m.values.field(c).to_numpy() for c in ("set_id", "n", "root"))
+                bits = np.frombuffer(b"".join(m.values.field("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+                if most == 0:
+                    own = np.arange(1, len(ids))
+                    for other in (np.zeros_like(own), own - 1):
+                        overlap, may = sketched(bits[own], bits[other], n[own], n[other], similarity)
+                        for x, y, o in zip(ids[own[may]].tolist(), ids[other[may]].tolist(), overlap[may].tolist()):
+                            pairs[x, y] = o
+                    continue
+                _, group, sizes = np.unique(root, return_inverse=True, return_counts=True)
+                rows = np.flatnonzero(group != sizes.argmax())
+                out = {}
+                for block in (rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)):
+                    near = slice(np.searchsorted(n, similarity * n[block[0]] - 1e-6), np.searchsorted(n, n[block[-1]] / similarity + 1e-6, "right"))
+                    overlap, may = sketched(bits[block, None], bits[None, near], n[block, None], n[None, near], similarity)
+                    may &= root[block, None] != root[None, near]
+                    for k, i in enumerate(block.tolist()):
+                        left = len(ids) if len(ids) <= PAIRS_BELOW else most
+                        for j in (np.flatnonzero(may[k]) + near.start).tolist():
+                            if not left:
+                                break
+                            (x, of), (y, _) = sorted(((int(ids[i]), i), (int(ids[j]), j)), reverse=True)
+                            if of not in out:
+                                out[of] = set(m.values.field("others")[of].as_py() or ())
+                            if y not in out[of]:
+                                pairs[x, y] = int(overlap[k, j - near.start])
+                                left -= 1
             yield pa.RecordBatch.from_arrays([*[pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], pa.array(pairs.values(), pa.int64())], ["a", "b", "overlap"])
 
-    found = grouped.select("m").mapInArrow(pair, "a long, b long, overlap long")
-    if most == 1:
-        return found.groupBy("a").agg(F.max_by("b", F.struct("overlap", "b")).alias("b"))
-    return found.select("a", "b").distinct()
+    found = grouped.where("_least < _most").select("m").mapInArrow(pair, "a long, b long, overlap long")
+    if most == 0:
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("overlap", "b")).alias("b"))
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def sketched(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """What sets of n and m elements have in common at most, by their bitmaps x and y (the last axis), and whether that allows the similarity."""
+    both = n.astype(np.int64) + m
+    apart = np.zeros(both.shape, np.int64)
+    for w in range(x.shape[-1]):
+        apart += np.bitwise_count(x[..., w] ^ y[..., w])
+    overlap = np.minimum((both - apart) // 2, np.minimum(n, m))
+    return overlap, overlap * (1 + similarity) >= similarity * both - 1e-9
 
 
 def wide_sketch(own: np.ndarray) -> bytes:
@@ -286,21 +312,21 @@ def similar_roots(docs: DataFrame, marked: DataFrame, similarity: float, shingle
 
     A round links sets that are still apart. The last one finds no pair that is apart, possible and not refuted, so all are exact.
     """
-    spark, members, most = marked.sparkSession, met_members(marked), 1
+    spark, members, most = marked.sparkSession, met_members(marked), 0
     judged = spark.createDataFrame([], "a long, b long, same boolean")
     roots = spark.createDataFrame([], "node long, root long")
     texts = None
     while True:
         refuted = judged.where("not same").groupBy("a").agg(F.collect_list("b").alias("others"))
         pairs = materialise(compact(candidates(members, roots, refuted, similarity, most)))
-        if pairs.isEmpty():
+        if pairs.isEmpty() and most:
             return roots
         if texts is None:  # those of the first round's pairs and of all that share a bucket with them
             named = small(materialise(compact(members.select("set_id", "text_id").distinct())), NAMED_TEXTS)
             texts = materialise(docs.select("text", F.xxhash64("text").alias("text_id")).join(named, "text_id").groupBy("set_id").agg(F.any_value("text").alias("text")))
         judged = materialise(compact(judged.unionByName(judge(pairs, texts, similarity, shingle))))
         roots = components(judged.where("same"))
-        most *= 4
+        most = max(FIRST_MOST, FIRST_MOST * most)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
