@@ -319,9 +319,12 @@ def similar_roots(docs: DataFrame, marked: DataFrame, similarity: float, shingle
     while True:
         refuted = judged.where("not same").groupBy("a").agg(F.collect_list("b").alias("others"))
         pairs = materialise(compact(candidates(members, roots, refuted, similarity, most)))
-        if pairs.isEmpty() and most:
-            return roots
-        if texts is None:  # those of the first round's pairs and of all that share a bucket with them
+        if pairs.isEmpty():
+            if most:
+                return roots
+            most = FIRST_MOST
+            continue
+        if texts is None:  # those of all sets that share a bucket with others
             named = small(materialise(compact(members.select("set_id", "text_id").distinct())), NAMED_TEXTS)
             texts = materialise(docs.select("text", F.xxhash64("text").alias("text_id")).join(named, "text_id").groupBy("set_id").agg(F.any_value("text").alias("text")))
         judged = materialise(compact(judged.unionByName(judge(pairs, texts, similarity, shingle))))
