@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,11 +54,26 @@ def materialise(df: DataFrame) -> DataFrame:
 
     The tables go when the driver's process ends.
     """
+    table, path = written(df)
+    atexit.register(discard, df.sparkSession, path)
+    return table
+
+
+@contextmanager
+def scratch(df: DataFrame) -> Iterator[DataFrame]:
+    """As materialise, but the table goes at the end of the block: what was made of it must be written by then."""
+    table, path = written(df)
+    try:
+        yield table
+    finally:
+        discard(df.sparkSession, path)
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessella/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def compact(df: DataFrame) -> DataFrame:
