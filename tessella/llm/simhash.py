@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.components import components
 from tessella.llm.decontamination import grams
-from tessella.session import compact, materialise, small
+from tessella.session import compact, materialise, scratch, small
 
 SHINGLE = 3
 SEED = 42
@@ -142,8 +142,13 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in rows], np.int64))
 
 
+def placed(docs: DataFrame, *columns: str) -> DataFrame:
+    """text, with text_id and at, by which rows of it are found again, and columns."""
+    return docs.select("text", F.xxhash64("text").alias("text_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("at"), *columns)
+
+
 def shingle_keys(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, text_id, set_id (equal for equal sets; 0 for the empty one), n, keys and sketch of each row; the sets themselves aren't kept.
+    """doc_id, text_id, at, set_id (equal for equal sets; 0 for the empty one), n, keys and sketch of each row; the sets themselves aren't kept.
 
     Of two sets of that similarity, each holds all but a fifth of the other at most, so they share one of their first
     len - ceil(similarity * len) + 1 shingles in any common order. Here common shingles come last.
@@ -165,23 +170,24 @@ def shingle_keys(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 sizes.append(len(own))
                 keys.append(first[: len(own) - least_overlap(len(own), similarity) + 1] if len(own) else own)
                 sketches.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_id"], pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "text_id", "set_id", "n", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_id"], b["at"], pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "text_id", "at", "set_id", "n", "keys", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), "text")
-    return rows.mapInArrow(mark, "doc_id long, text_id long, set_id long, n int, keys array<long>, sketch binary")
+    rows = placed(docs, F.col("doc_id").cast("long"))
+    return rows.mapInArrow(mark, "doc_id long, text_id long, at long, set_id long, n int, keys array<long>, sketch binary")
 
 
-def met_members(marked: DataFrame) -> DataFrame:
-    """key, i, j and members (set_id, n, sketch, text_id) of each first shingle that several sets have; of equal buckets, one."""
+def met_members(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, i, j, set_id, n and sketch of each first shingle that several sets have (of equal buckets, one); and set_id, text_id and at of a row of each."""
     met = marked.select("set_id", F.explode("keys").alias("key")).groupBy("key").agg(F.array_sort(F.collect_set("set_id")).alias("ids")).where(F.size("ids") > 1)
     met = materialise(compact(met.groupBy(F.sha2(F.array_join("ids", ","), 256).alias("key")).agg(F.any_value("ids").alias("ids"))))
     ids = small(materialise(compact(met.select(F.explode("ids").alias("set_id")).distinct())), NAMED_TEXTS)
-    columns = ("n", "sketch", "text_id")
-    known = materialise(compact(marked.join(ids, "set_id").groupBy("set_id").agg(*[F.any_value(c).alias(c) for c in columns])))
+    row = F.min(F.struct("at", "text_id")).alias("row")
+    known = materialise(compact(marked.join(ids, "set_id").groupBy("set_id").agg(*[F.any_value(c).alias(c) for c in ("n", "sketch")], row).select("set_id", "n", "sketch", "row.*")))
     blocks = F.ceil(F.size("ids") / BUCKET_ROWS).cast("long")
     dealt = met.select("key", blocks.alias("blocks"), F.explode("ids").alias("set_id")).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return materialise(compact(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id").join(known, "set_id")))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id")
+    return materialise(compact(dealt.join(known.select("set_id", "n", "sketch"), "set_id"))), known.select("set_id", "text_id", "at")
 
 
 def candidates(members: DataFrame, roots: DataFrame, refuted: DataFrame, similarity: float, most: int) -> DataFrame:
@@ -191,7 +197,7 @@ def candidates(members: DataFrame, roots: DataFrame, refuted: DataFrame, similar
     most: that links groups of copies without comparing all of them. Else sets outside of a bucket's largest root meet those of
     other roots that sizes allow, and each has `most` of them at most: later rounds see those that are then still apart.
     """
-    known = members.drop("text_id").join(small(roots, NAMED_TEXTS), F.col("set_id") == F.col("node"), "left").join(refuted, F.col("set_id") == F.col("a"), "left")
+    known = members.join(small(roots, NAMED_TEXTS), F.col("set_id") == F.col("node"), "left").join(refuted, F.col("set_id") == F.col("a"), "left")
     known = known.withColumn("root", F.coalesce("root", "set_id"))
     grouped = known.groupBy("key", "i", "j").agg(F.array_sort(F.collect_list(F.struct("n", "set_id", "root", "sketch", "others"))).alias("m"), F.min("root").alias("_least"), F.max("root").alias("_most"))
 
@@ -259,13 +265,14 @@ def most_overlap(a: bytes, b: bytes, n: int, m: int) -> int:
     return min((n + m - int(np.bitwise_count(x ^ y).sum())) // 2, n, m)
 
 
-def judge(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """a, b and same (whether the Jaccard similarity is reached) of each pair; texts: set_id and text.
+def judge(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """a, b and same (whether the Jaccard similarity is reached) of each pair; rows: set_id, text_id and at of a row of docs.
 
-    Only sets of these pairs are made, from their texts. Pairs first meet as wide sketches, which refute most; the others as
-    sorted hashes.
+    Only sets of these pairs are made, from their texts where they lie. Pairs first meet as wide sketches, which refute most;
+    the others as sorted hashes. The sets go when the pairs are judged.
     """
-    ids = small(materialise(compact(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())), NAMED_TEXTS)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    wanted = materialise(compact(rows.join(ids, "set_id")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingles(shingle)
@@ -295,27 +302,29 @@ def judge(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -
                 same.append(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(same, pa.bool_())], ["a", "b", "same"])
 
-    known = materialise(texts.join(ids, "set_id").select("set_id", "text").mapInArrow(pack, "set_id long, n int, wide binary, packed binary"))
+    sets = placed(docs).join(small(wanted, NAMED_TEXTS), ["text_id", "at"]).select("set_id", "text").mapInArrow(pack, "set_id long, n int, wide binary, packed binary")
 
-    def sides(of: DataFrame, *columns: str) -> DataFrame:
+    def sides(of: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
         for c in ("a", "b"):
             of = of.join(known.select(F.col("set_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]), c)
         return of.select("a", "b", *[f"{x}_{c}" for x in columns for c in ("a", "b")])
 
-    bounded = materialise(compact(sides(pairs, "wide", "n").mapInArrow(bound, "a long, b long, may boolean")))
-    exact = sides(bounded.where("may").select("a", "b"), "packed").mapInArrow(compare, "a long, b long, same boolean")
-    return bounded.where("not may").select("a", "b", F.lit(False).alias("same")).unionByName(exact)
+    with scratch(sets) as known:
+        if known.count() > wanted.count():  # repeated rows
+            known = known.dropDuplicates(["set_id"])
+        bounded = materialise(compact(sides(pairs, known, "wide", "n").mapInArrow(bound, "a long, b long, may boolean")))
+        exact = sides(bounded.where("may").select("a", "b"), known, "packed").mapInArrow(compare, "a long, b long, same boolean")
+        return materialise(compact(bounded.where("not may").select("a", "b", F.lit(False).alias("same")).unionByName(exact)))
 
 
-def similar_roots(docs: DataFrame, marked: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def similar_roots(docs: DataFrame, members: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(node, root) of the sets that others are similar to: components of all pairs of that Jaccard similarity.
 
     A round links sets that are still apart. The last one finds no pair that is apart, possible and not refuted, so all are exact.
     """
-    spark, members, most = marked.sparkSession, met_members(marked), 0
+    spark, most = docs.sparkSession, 0
     judged = spark.createDataFrame([], "a long, b long, same boolean")
     roots = spark.createDataFrame([], "node long, root long")
-    texts = None
     while True:
         refuted = judged.where("not same").groupBy("a").agg(F.collect_list("b").alias("others"))
         pairs = materialise(compact(candidates(members, roots, refuted, similarity, most)))
@@ -324,10 +333,7 @@ def similar_roots(docs: DataFrame, marked: DataFrame, similarity: float, shingle
                 return roots
             most = FIRST_MOST
             continue
-        if texts is None:  # those of all sets that share a bucket with others
-            named = small(materialise(compact(members.select("set_id", "text_id").distinct())), NAMED_TEXTS)
-            texts = materialise(docs.select("text", F.xxhash64("text").alias("text_id")).join(named, "text_id").groupBy("set_id").agg(F.any_value("text").alias("text")))
-        judged = materialise(compact(judged.unionByName(judge(pairs, texts, similarity, shingle))))
+        judged = judged.unionByName(judge(pairs, docs, rows, similarity, shingle))
         roots = components(judged.where("same"))
         most = max(FIRST_MOST, FIRST_MOST * most)
 
@@ -348,8 +354,10 @@ def similar_documents(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity:
 
     Rows of equal sets are one node from the start; texts without words are one node. Null doc_ids, repeated and no rows as in near_duplicates.
     """
-    marked = materialise(shingle_keys(docs, shingle, similarity))
-    return named(marked, "set_id", lambda _: similar_roots(docs, marked, similarity, shingle)).select("doc_id", "component_id")
+    with scratch(shingle_keys(docs, shingle, similarity)) as keyed:
+        members, rows = met_members(keyed)
+        marked = materialise(compact(keyed.select("doc_id", "set_id")))
+    return named(marked, "set_id", lambda _: similar_roots(docs, members, rows, similarity, shingle)).select("doc_id", "component_id")
 
 
 def named(marked: DataFrame, node: str, roots_of) -> DataFrame:
