@@ -23,12 +23,11 @@ CHUNK = 1 << 16
 #: Words a shingle and least Jaccard similarity of near copies where no contract asks for fingerprints within 2 bits.
 COPY_SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits of the bitmap that bounds the overlap of two sets; rows compared at once; members up to which a bucket lists all its pairs.
+#: Bits of the bitmap that bounds the overlap of two sets; rows compared at once.
 SKETCH = 1024
 BLOCK = 256
-PAIRS_BELOW = 32
-#: Partners of a set in a larger bucket in the second round; each later one has that many times as many.
-FIRST_MOST = 64
+#: Partners of a set in a bucket in the second round, and how many times as many each later one has.
+FIRST_MOST, MORE = 2, 32
 #: Members of a bucket that are met in one group; a larger bucket is dealt to blocks, and pairs of blocks to groups.
 BUCKET_ROWS = 1024
 #: Documents that common shingles are looked for in, how many of them have a common one, and how many are known at most.
@@ -195,7 +194,7 @@ def candidates(members: DataFrame, roots: DataFrame, refuted: DataFrame, similar
 
     With most = 0, each set meets but the smallest of a bucket and the one before it by size, and keeps the pair that may overlap
     most: that links groups of copies without comparing all of them. Else sets outside of a bucket's largest root meet those of
-    other roots that sizes allow, and each has `most` of them at most: later rounds see those that are then still apart.
+    other roots that sizes allow, and each has the `most` likeliest of them at most: later rounds see those that are then still apart.
     """
     known = members.join(small(roots, NAMED_TEXTS), F.col("set_id") == F.col("node"), "left").join(refuted, F.col("set_id") == F.col("a"), "left")
     known = known.withColumn("root", F.coalesce("root", "set_id"))
@@ -222,8 +221,8 @@ def candidates(members: DataFrame, roots: DataFrame, refuted: DataFrame, similar
                     overlap, may = sketched(bits[block, None], bits[None, near], n[block, None], n[None, near], similarity)
                     may &= root[block, None] != root[None, near]
                     for k, i in enumerate(block.tolist()):
-                        left = len(ids) if len(ids) <= PAIRS_BELOW else most
-                        for j in (np.flatnonzero(may[k]) + near.start).tolist():
+                        left, partners = most, np.flatnonzero(may[k])
+                        for j in (partners[np.argsort(-overlap[k, partners], kind="stable")] + near.start).tolist():
                             if not left:
                                 break
                             (x, of), (y, _) = sorted(((int(ids[i]), i), (int(ids[j]), j)), reverse=True)
@@ -335,7 +334,7 @@ def similar_roots(docs: DataFrame, members: DataFrame, rows: DataFrame, similari
             continue
         judged = judged.unionByName(judge(pairs, docs, rows, similarity, shingle))
         roots = components(judged.where("same"))
-        most = max(FIRST_MOST, FIRST_MOST * most)
+        most = max(FIRST_MOST, MORE * most)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
