@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontamination, embeddings, language, licenses, mixing, pii, simhash, substrings, toxicity
+from tessella.llm import chat, decontamination, embeddings, language, licenses, mixing, packing, pii, simhash, substrings, toxicity
 from tessella.session import table
 
 
@@ -57,6 +57,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository, which only this query needs
 
@@ -151,6 +155,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
+    "op12_best_fit_packing": op12_best_fit_packing,
     "pipeline": pipeline,
 }
 ORACLE_SQL = {
