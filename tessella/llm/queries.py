@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontamination, embeddings, language, licenses, mixing, packing, pii, simhash, substrings, toxicity
+from tessella.llm import chat, codes, decontamination, embeddings, language, licenses, mixing, packing, pii, simhash, substrings, toxicity
 from tessella.session import table
 
 
@@ -57,6 +57,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -144,6 +149,30 @@ select e.vec_id, (select count(*) from l where l.a = e.r)::bigint as n_links, (s
 from e
 """
 
+
+
+def _codes_sql() -> str:
+    """Lloyd's rounds written out one after the other, each comparing every part with every entry."""
+    rounds = "".join(
+        f"""
+    a{r} as materialized (select v.i, v.part, v.x, arg_min(c.entry, (list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 16 + c.entry)) as entry,
+        min(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) as error from v join c{r} c using (part) group by all),
+    m{r} as (select part, entry, place, sum(x[place])::bigint as s, count(*) as n from (select *, unnest(range(1, len(x) + 1)) as place from a{r}) t group by all),
+    c{r + 1} as materialized (select c.part, c.entry, coalesce(m.x, c.x) as x from c{r} c
+        left join (select part, entry, list((s - ((s % n) + n) % n) // n order by place) as x from m{r} group by all) m using (part, entry)),"""
+        for r in range(codes.ROUNDS + 1)
+    )
+    return f"""
+    with e as materialized (select row_number() over (order by vec_id) as i, vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::double)::bigint) as q from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    v as materialized (select i, part, q[part * len(q) // {codes.PARTS} + 1:(part + 1) * len(q) // {codes.PARTS}] as x from (select *, unnest(range({codes.PARTS})) as part from e) t),
+    c0 as materialized (select part, i - 1 as entry, x from v where i <= {codes.ENTRIES}),{rounds}
+    w as (select i, string_agg(lower(printf('%02x', entry)), '' order by part) as code, sum(error)::bigint as error from a{codes.ROUNDS} group by i),
+    d as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as codebooks_sha256 from c{codes.ROUNDS})
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from e join w using (i) cross join d
+    """
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -155,6 +184,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
+    "op11_vector_codes": op11_vector_codes,
     "op12_best_fit_packing": op12_best_fit_packing,
     "pipeline": pipeline,
 }
@@ -164,4 +194,5 @@ ORACLE_SQL = {
     "op5_decontamination": _DECONTAMINATION_SQL,
     "op9_mixing": _MIXING_SQL,
     "op10_chat_format": _CHAT_SQL,
+    "op11_vector_codes": _codes_sql(),
 }
