@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, codes, decontamination, embeddings, language, licenses, mixing, packing, pii, simhash, substrings, toxicity
+from tessella.llm import chat, codes, decontamination, divergence, embeddings, language, licenses, mixing, packing, pii, simhash, substrings, toxicity
 from tessella.session import table
 
 
@@ -66,6 +66,10 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository, which only this query needs
 
@@ -173,6 +177,26 @@ def _codes_sql() -> str:
     """
 
 
+
+_DIVERGENCE_SQL = r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as words from documents),
+o as (select lang, source, term, count(*) as n, count(distinct r) as docs from (select r, lang, source, unnest(words) as term from d) t group by all),
+k as (select lang, term, sum(n) as total from o group by all having sum(docs) >= 10),
+g as (select distinct lang, source from d),
+lk as (select lang, count(*) as v, sum(total) as nl from k group by all),
+gk as (select lang, source, sum(n) as n from o join k using (lang, term) group by all),
+dense as materialized (select g.lang, g.source, k.term, coalesce(o.n, 0) as n,
+    (1 + (1000000000::hugeint * (coalesce(o.n, 0) + 2)) // (coalesce(gk.n, 0) + 2 * lk.v))::hugeint as p, (1 + (1000000000::hugeint * (k.total + 2)) // (lk.nl + 2 * lk.v))::hugeint as q
+  from g join k using (lang) join lk using (lang) left join gk using (lang, source) left join o using (lang, source, term)),
+s as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from dense a join dense b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+u as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+    left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all select lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::bigint from dense where n > 0 and p > q)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from u
+qualify part = 'pair' or rank <= 10
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -186,6 +210,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_vector_codes": op11_vector_codes,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": pipeline,
 }
 ORACLE_SQL = {
@@ -195,4 +220,5 @@ ORACLE_SQL = {
     "op9_mixing": _MIXING_SQL,
     "op10_chat_format": _CHAT_SQL,
     "op11_vector_codes": _codes_sql(),
+    "op13_source_divergence": _DIVERGENCE_SQL,
 }
