@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-import struct
+import sys
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -24,73 +26,116 @@ VOCABULARY = "byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_ID = 0
 CAPACITY = 2048
-#: Ids of words that a task remembers; beyond, it forgets all and begins anew.
-REMEMBERED = 600_000
+#: Words that a Python worker remembers with their ids: so many of late, and as many from before.
+REMEMBERED = 500_000
 #: Longer words are not remembered.
 REMEMBERED_LENGTH = 64
 #: Rows that a task hands on at once.
 BATCH_ROWS = 5_000
 #: Before this code point, all Unicode versions agree on what is a letter and what a number.
 SETTLED = "԰"
+#: Marks that the pattern takes as a token of their own behind letters at the end of a word.
+MARKS = frozenset(".,;:!?")
 PIECES = "piece int, start long, length long, ids_crc32 long, _task int, _rank long"
 
 
-class Words(dict):
-    """Ids of a word with one blank before it, as little-endian unsigned 32-bit bytes; None if the word isn't one.
+class Memory:
+    """What was met of late, and what was before; when the one is full it becomes the other, so words in use stay."""
+
+    def __init__(self):
+        self.late: dict[str, bytes | bool] = {}
+        self.before: dict[str, bytes | bool] = {}
+
+    def again(self, word: str) -> bytes | bool | None:
+        ids = self.late.get(word)
+        if ids is None and (ids := self.before.get(word)) is not None:
+            self.keep(word, ids)
+        return ids
+
+    def keep(self, word: str, ids: bytes | bool) -> bytes | bool:
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self.late) >= REMEMBERED:
+                self.late, self.before = {}, self.late
+            self.late[word] = ids
+        return ids
+
+
+class Words:
+    """Ids of texts, word by word, as little-endian unsigned 32-bit bytes, with a memory of words.
 
     A blank between two characters that are not white space always begins a token of its own or one with the word behind
-    it, so a text may be cut there and its words encoded apart. A word that is empty or has white space at an end stood at
-    another kind of blank: its text must be cut at the former places only.
+    it, so a text may be cut there and its words encoded apart, each with the blank before it. A word that is empty or has
+    white space at an end stood at another kind of blank: its text is cut at the former places only.
     """
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer, self.merge = tokenizer, tokenizer.model.tokenize
-        self.tokens = {}
+        self.words, self.tokens = Memory(), Memory()  # of a word, False if it isn't one
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary writes as the character of that number
         others = [b for b in range(256) if b not in own]
         self.letters = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-    def __missing__(self, word: str) -> bytes | None:
-        if word.isalpha() and word.isascii():
-            ids = self.merged(f" {word}")
+        self.blank = self.letters[32]
+
+    def learn(self, word: str) -> bytes | bool:
+        """Ids of a blank and the word."""
+        if word.isalpha() and (word.isascii() or max(word) < SETTLED):
+            ids = packed([t.id for t in self.merge(self.blank + (word if word.isascii() else self.spelt(word)))])
+        elif (stem := word[:-1]).isalpha() and word[-1] in MARKS and (stem.isascii() or max(stem) < SETTLED):
+            ids = (self.words.again(stem) or self.learn(stem)) + self.encode(word[-1])
+        elif word and not word[0].isspace() and not word[-1].isspace():
+            ids = self.encode(f" {word}")
         else:
-            ids = self.encode(f" {word}") if word and not word[0].isspace() and not word[-1].isspace() else None
-        return self.keep(self, word, ids)
+            ids = False
+        return self.words.keep(word, ids)
 
-    @staticmethod
-    def keep(memo: dict, word: str, ids: bytes | None) -> bytes | None:
-        if len(word) <= REMEMBERED_LENGTH:
-            if len(memo) >= REMEMBERED:
-                memo.clear()
-            memo[word] = ids
-        return ids
+    def spelt(self, token: str) -> str:
+        """token as the vocabulary writes it: a character for each byte."""
+        return token.encode().decode("latin-1").translate(self.letters)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text of any kind."""
-        if text.isascii() or max(text) < SETTLED:
-            return b"".join([self.tokens.get(t) or self.keep(self.tokens, t, self.merged(t)) for t in _split(text)])
-        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def merged(self, token: str) -> bytes:
-        """Ids of what the pattern takes as one token, by the vocabulary's merges alone."""
-        return packed([t.id for t in self.merge(token.encode().decode("latin-1").translate(self.letters))])
+        if not (text.isascii() or max(text) < SETTLED):
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        tokens = _split(text)
+        found = list(map(self.tokens.late.get, tokens))
+        for i, ids in enumerate(found):
+            if ids is None:  # what the pattern takes as one token goes by the vocabulary's merges alone
+                found[i] = self.tokens.again(tokens[i]) or self.tokens.keep(tokens[i], packed([t.id for t in self.merge(self.spelt(tokens[i]))]))
+        return b"".join(found)
 
     def document(self, text: str) -> bytes:
-        """Ids of a whole text, word by word, so that a task never holds more of it than its ids."""
-        first, *others = text.split(" ")
-        found = [self[w] for w in others]
-        if None not in found and not first[-1:].isspace():
+        """Ids of a whole text, so that a task never holds more of it than its ids."""
+        first, *words = text.split(" ")
+        found = list(map(self.words.late.get, words))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self.words.again(words[i]) or self.learn(words[i])
+        if False not in found and not first[-1:].isspace():
             return b"".join([self.encode(first), *found])
-        first, *others = _cuts.split(text)
-        return b"".join([self.encode(first), *[self[w] or self.encode(f" {w}") for w in others]])
+        first, *words = _cuts.split(text)
+        return b"".join([self.encode(first), *[self.words.again(w) or self.encode(f" {w}") for w in words]])
 
 
 _split = regex.compile(PATTERN).findall
 _cuts = re.compile(r"(?<=\S) (?=\S)")
 
 
+def worker_words(vocabulary: str) -> Words:
+    """The words of this Python worker: it serves many tasks, each of which brings its functions anew, so they are kept in a module of their own."""
+    own = sys.modules.setdefault("tessella_worker_words", ModuleType("tessella_worker_words")).__dict__
+    if own.get("vocabulary") != vocabulary:
+        tokenizer = Tokenizer.from_str(vocabulary)
+        tokenizer.encode_special_tokens = True
+        own.update(vocabulary=vocabulary, words=Words(tokenizer))
+    return own["words"]
+
+
 def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    whole = array("I", ids)
+    if sys.byteorder == "big":
+        whole.byteswap()
+    return whole.tobytes()
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -112,9 +157,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, vo
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.encode_special_tokens = True
-        words, task, seen, end = Words(tokenizer), TaskContext.get().partitionId(), Counter(), packed([END_ID])
+        words, task, seen, end = worker_words(shared.value), TaskContext.get().partitionId(), Counter(), packed([END_ID])
         rows, of, ids = [], [], []
 
         def batch(keys: pa.Array) -> pa.RecordBatch:

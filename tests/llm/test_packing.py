@@ -51,7 +51,7 @@ def test_memory_is_bounded(tokenizer, monkeypatch):
     words = packing.Words(tokenizer)
     text = " ".join(f"word{i}" for i in range(50)) + " " + "x" * 500
     assert words.document(text) == packing.packed(tokenizer.encode(text, add_special_tokens=False).ids)
-    assert len(words) <= 5 and len(words.tokens) <= 5
+    assert len(words.words.late) <= 5 and len(words.words.before) <= 5 and len(words.tokens.late) <= 5
 
 
 def test_cut():
