@@ -41,6 +41,19 @@ def hex_of_point(lat: Column, lon: Column, size: float) -> Column:
     return hex_id(F.when(by_x, -y - z).otherwise(x), F.when(by_x | (dy > dz), z).otherwise(-x - y))
 
 
+def hex_centre(cell: Column, size: float) -> Column:
+    """lon and lat of a cell's centre."""
+    q, r = hex_q(cell), hex_r(cell)
+    return F.struct(((q + r / 2) * (size * 3**0.5)).alias("lon"), (r * (1.5 * size)).alias("lat"))
+
+
+def hex_boundary(cell: Column, size: float) -> Column:
+    """A cell's six corners as [lon, lat], against the clock from the upper right one."""
+    half, c = size * 3**0.5 / 2, hex_centre(cell, size)
+    corners = ((half, size / 2), (0.0, size), (-half, size / 2), (-half, -size / 2), (0.0, -size), (half, -size / 2))
+    return F.array(*[F.array(c["lon"] + x, c["lat"] + y) for x, y in corners])
+
+
 def ring_edges(cells: DataFrame, cell: str, k: int = 1) -> DataFrame:
     """(cell, neighbour) for all cells within k steps, without the cell itself."""
     offsets = [(q, r) for q in range(-k, k + 1) for r in range(max(-k, -q - k), min(k, -q + k) + 1) if (q, r) != (0, 0)]

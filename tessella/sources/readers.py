@@ -71,6 +71,26 @@ def read_geojson(spark: SparkSession, path: str, properties: list[str]) -> DataF
     return f.select(F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.geometry.coordinates")[1].alias("lat"), *[F.col(f"f.properties.{p}").alias(p) for p in properties])
 
 
+def read_geojson_polygons(spark: SparkSession, path: str, properties: list[str], lines: bool = False) -> DataFrame:
+    """feature, part, rings and properties of polygon features; one of several parts gives a row a part.
+
+    feature is a hash of the whole geometry, so it names a feature wherever it is read. lines: a feature a line, which Spark
+    splits over tasks; else collections, of which one file is read by one task. Other geometries are left out.
+    """
+    props = T.StructType([T.StructField(p, T.StringType()) for p in properties])
+    shape = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
+    feature = T.StructType([T.StructField("geometry", shape), T.StructField("properties", props)])
+    if lines:
+        features = spark.read.schema(feature).json(path).select(F.struct("geometry", "properties").alias("f"))
+    else:
+        features = spark.read.schema(T.StructType([T.StructField("features", T.ArrayType(feature))])).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    single = F.array(F.from_json(text, "array<array<array<double>>>"))
+    parts = F.when(kind == "Polygon", single).when(kind == "MultiPolygon", F.from_json(text, "array<array<array<array<double>>>>"))
+    named = [F.col(f"f.properties.{p}").alias(p) for p in properties]
+    return features.select(F.sha2(F.to_json(parts), 256).alias("feature"), *named, F.posexplode(parts).alias("part", "rings")).select("feature", "part", "rings", *properties)
+
+
 def files_of_manifest(manifest: DataFrame, line: str, pattern: str, start: str, end: str) -> DataFrame:
     """(file, stamp) of the manifest's lines whose name holds a time (yyyyMMddHHmmss, in the pattern's group) within start and end."""
     stamp = F.try_to_timestamp(F.regexp_extract(line, pattern, 1), F.lit("yyyyMMddHHmmss"))
