@@ -30,10 +30,12 @@ def register_functions(spark: SparkSession) -> None:
     """year_range, ewm_last, normal_name, quality_weight and haversine_km for use in spark.sql."""
     spark.udtf.register("year_range", F.udtf(YearRange, returnType="year int"))
     spark.udf.register("ewm_last", F.pandas_udf(ewm_last, "double"))
-    words = "|".join(sorted(text.UNIT_WORDS, key=len, reverse=True))
+    name = "lower(regexp_replace(coalesce(n, ''), r'^\\s+|\\s+$', ''))"
+    for p in text.UNIT_PREFIXES:
+        name = f"regexp_replace({name}, '^{p}', '')"
     spark.sql(
         f"""create or replace temporary function normal_name(n string) returns string return
-        trim(regexp_replace(regexp_replace(translate(lower(trim(n)), '{text.MARKED}', '{text.PLAIN}'), r"^(?:{words})\\s+(?:de\\s+|du\\s+|d'|of\\s+)?", ''), r"[^\\p{{L}}\\p{{N}}]+", ' '))"""
+        trim(regexp_replace(translate({name}, '{text.MARKED}', '{text.PLAIN}'), r"[^\\p{{L}}\\p{{N}}]+", ' '))"""
     )
     spark.sql(
         f"""create or replace temporary function quality_weight(t string) returns double return

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.session import materialise, small
 
-#: Ranges that a table is dealt to.
-RANGES = 64
+#: Rows of a range, about; a table of no more is summed in one window for each key.
+RANGE_ROWS = 1_000_000
 
 
-def running_sums(df: DataFrame, sums: dict[str, str], order: list[Column], by: list[str] = (), totals: dict[str, str] | None = None, ranges: int = RANGES) -> DataFrame:
+def running_sums(df: DataFrame, sums: dict[str, str], order: list[Column], by: list[str] = (), totals: dict[str, str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with, for each out: column of sums, the sum of the column over the rows up to and with this one, and over all for totals.
 
-    Rows are dealt to ranges of (by, order) and written; sums a range are summed over the few ranges before, and the rest is
-    a window within a range. Rows that order leaves equal may lie in either order, so pass distinct ones.
+    Rows are written and counted, then dealt to as many ranges of (by, order) as their number asks for; sums a range are summed over
+    the ranges before, and the rest is a window within a range. Rows that order leaves equal may lie in either order, so
+    pass distinct ones.
     """
+    df = materialise(df)
+    ranges = math.ceil(df.count() / range_rows)
+    if ranges <= 1:
+        key = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        upto = key.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({o: F.sum(c).over(upto) for o, c in sums.items()} | {o: F.sum(c).over(key) for o, c in (totals or {}).items()})
     columns = sorted({*sums.values(), *(totals or {}).values()})
     dealt = materialise(df.repartitionByRange(ranges, *by, *order).withColumn("_range", F.spark_partition_id()))
     each = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
@@ -33,6 +42,6 @@ def running_sums(df: DataFrame, sums: dict[str, str], order: list[Column], by: l
     return out.select(*df.columns, *sums, *(totals or {}))
 
 
-def numbered(df: DataFrame, out: str, order: list[Column], ranges: int = RANGES) -> DataFrame:
+def numbered(df: DataFrame, out: str, order: list[Column], range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with the row's number, from 1, in the order."""
-    return running_sums(df.withColumn("_one", F.lit(1).cast("long")), {out: "_one"}, order, ranges=ranges).drop("_one")
+    return running_sums(df.withColumn("_one", F.lit(1).cast("long")), {out: "_one"}, order, range_rows=range_rows).drop("_one")

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tessella.operators.ranges import running_sums
+from tessella.session import materialise, small
+
 EPS = 1e-6
 
 
@@ -102,6 +105,16 @@ def average_percent_rank(c: str, partition: str) -> Column:
     return (F.rank().over(w.orderBy(F.col(c).desc())) + (ties - 1) / 2) / F.count("*").over(w)
 
 
+def average_percent_ranks(df: DataFrame, c: str, out: str) -> DataFrame:
+    """df with the share of all rows at or above the value, descending, ties at their mean rank, as average_percent_rank gives it for a partition.
+
+    Rows are counted by value, and the counts summed range by range, so no task sorts all rows; nulls come last.
+    """
+    counts = running_sums(df.groupBy(F.col(c).alias("_value")).agg(F.count("*").alias("_n")), {"_upto": "_n"}, [F.desc("_value")], totals={"_all": "_n"})
+    shares = counts.select("_value", ((F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_all")).alias(out))
+    return df.join(small(materialise(shares)), F.col(c).eqNullSafe(F.col("_value"))).drop("_value")
+
+
 #: Upper edges of the shares, and names, of the risk tiers.
 TIERS = ((0.05, "1_critical"), (0.15, "2_high"), (0.30, "3_elevated"), (1.0, "4_baseline"))
 

@@ -56,10 +56,15 @@ def coverage(df: DataFrame, truth: str, edges: list[float]) -> DataFrame:
     return df.groupBy(value_bin(F.col(truth), edges).alias("bin")).agg(F.count("*").alias("n"), F.avg(inside).alias("coverage"), F.avg(width).alias("mean_width"), F.percentile(width, 0.5).alias("median_width"))
 
 
-def quartile_edges(df: DataFrame, c: str) -> list[float]:
-    """Edges at 0 and at the quartiles of the values above 0; one bin for all of them when they are fewer than 4."""
-    row = df.where(F.col(c) > 0).agg(F.count("*").alias("n"), F.percentile(c, [0.25, 0.5, 0.75]).alias("q")).first()
-    return [0.0, math.ulp(0.0), *dict.fromkeys(row["q"])] if row["n"] >= 4 else [0.0, math.ulp(0.0)]
+def quartile_edges(df: DataFrame, c: str, log_scale: bool = True) -> list[float]:
+    """0, 1, the quartiles of the values above 0 and infinity; without the quartiles if fewer than 4 values are above 0.
+
+    log_scale: the column holds log1p of the values. The edges stand as they come, so with quartiles of 1 and less or equal
+    ones a bin is empty.
+    """
+    value = F.expm1(c) if log_scale else F.col(c)
+    row = df.select(value.alias("v")).where("v > 0").agg(F.count("*").alias("n"), F.percentile("v", [0.25, 0.5, 0.75]).alias("q")).first()
+    return [0.0, 1.0, *(row["q"] if row["n"] >= 4 else ()), math.inf]
 
 
 def post_process(df: DataFrame, most_log: float = 500.0, most_upper: float = 1000.0) -> DataFrame:

@@ -67,15 +67,24 @@ def removal_candidates(groups: Iterable[list[str]], importance: dict[str, float]
     return [n for g in groups for n in sorted(g, key=lambda n: (-importance.get(n, 0.0), n))[1:]]
 
 
-def bundle_closure(stable: set[str], bundles: dict[str, set[str]], families: list[set[str]]) -> set[str]:
-    """stable with what belongs to it: bundles work both ways, to a fixed point; a family is kept whole if any of it is."""
+def bundle_closure(stable: set[str], available: set[str], two_way: dict[str, list[str]], rescue: dict[str, list[str]], guards: dict[str, set[str]]) -> list[str]:
+    """stable with the available columns that belong to it, sorted.
+
+    First, once and in order, a two-way bundle (a column and its siblings) of which any is kept is kept whole. Then what a kept
+    column rescues is kept, and what that rescues, to a fixed point. Last, a guard's flag is kept if any of its family is;
+    the rest of the family is not. Only columns that are added must be available.
+    """
     kept = set(stable)
-    while True:
-        more = {b for a, bs in bundles.items() if a in kept for b in bs} | {a for a, bs in bundles.items() if bs & kept}
-        more |= {m for f in families if f & kept for m in f}
-        if more <= kept:
-            return kept
+    for column, siblings in two_way.items():
+        bundle = {column, *siblings}
+        if bundle & kept:
+            kept |= bundle & available
+    todo = list(kept)
+    while todo:
+        more = set(rescue.get(todo.pop(), ())) & available - kept
         kept |= more
+        todo.extend(more)
+    return sorted(kept | {flag for flag, family in guards.items() if flag in available and kept & set(family)})
 
 
 def linear_attributions(df: DataFrame, weights: dict[str, float], keys: list[str]) -> DataFrame:

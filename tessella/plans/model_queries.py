@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import windows as W
+from tessella.operators.binning import value_bin
 from tessella.plans import frames as P
 from tessella.plans.model import conformal, diagnostics, ensemble, matrix, metrics
 from tessella.plans.registry import Registry
@@ -57,7 +58,7 @@ def recall_in_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tier_recall", f"with {_SCORED}, k as (select y, (rank() over (order by s desc) + (count(*) over (partition by s) - 1) / 2.0) / count(*) over () as share from sc), t as (select y, case when share <= 0.05 then '1_critical' when share <= 0.15 then '2_high' when share <= 0.3 then '3_elevated' else '4_baseline' end as tier from k), g as (select tier, count(*) as n, sum(y) as p from t group by tier) select tier, sum(n) over (order by tier)::bigint as n, sum(p) over (order by tier) / sum(p) over () as recall, sum(p) over (order by tier) / sum(n) over (order by tier) as precision from g")
 def tier_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir).withColumn("all", F.lit(0)).withColumn("tier", W.tier(W.average_percent_rank("s", "all")))
+    scored = W.average_percent_ranks(_scored(spark, sf_dir), "s", "share").withColumn("tier", W.tier(F.col("share")))
     return metrics.tier_recall(scored, "y", "tier", tuple(name for _, name in W.TIERS))
 
 
@@ -82,6 +83,14 @@ bq as (select bin, max(n) as n, sum(greatest(0, 1 - abs(i - least(1.0::double, 0
 qs as (select b::int as bin, coalesce(bq.n, 0) as n, coalesce(bq.q, gq.q) as q from (select unnest(range(0, 7)) as b) x left join bq on bin = b cross join gq)"""
 
 
+@query("quartile_bins", f"with {_PREDICTED}, v as (select l_orderkey, l_linenumber, m from li), e as (select quantile_cont(m, 0.25) as a, quantile_cont(m, 0.5) as b, quantile_cont(m, 0.75) as c from v where m > 0) select case when m >= c then 4 when m >= b then 3 when m >= a then 2 when m >= 1 then 1 when m >= 0 then 0 end as bin, count(*) as n, min(m) as low, max(m) as high from v, e group by 1")
+def quartile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by the bins at 0, 1, the quartiles of the values above 0 and infinity; below 0 none."""
+    rows = _predicted(spark, sf_dir)
+    edges = conformal.quartile_edges(rows, "m", log_scale=False)
+    return rows.groupBy(value_bin(F.col("m"), edges).alias("bin")).agg(F.count("*").alias("n"), F.min("m").alias("low"), F.max("m").alias("high"))
+
+
 @query("bccp_quantiles", f"with {_QUANTILES} select bin, n, round(q, 6) as q from qs")
 def bccp_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformal.fit(_predicted(spark, sf_dir), "y", "m", EDGES).withColumn("q", F.round("q", 6))

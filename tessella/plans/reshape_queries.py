@@ -175,16 +175,16 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.hash_sample(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", 0.1)
 
 
-_NAMES = "nm as (select p_partkey, ['Préfecture de ', 'Sous-Préfecture ', 'Commune d''', '', 'REGION '][(p_partkey % 5 + 1)::int] || p_name || ['', '-Ést', ' (II)', '  Ôuest'][(p_partkey % 4 + 1)::int] as name from part)"
+_NAMES = "nm as (select p_partkey, ['Préfecture de ', 'Sous-Prefecture ', 'Prefecture de ', '', 'Prefecture De Prefecture '][(p_partkey % 5 + 1)::int] || p_name || ['', '-Ést', ' (II)', '  Ôuest Ñ'][(p_partkey % 4 + 1)::int] as name from part)"
 
 
 @query(
     "norm_name",
-    f"with {_NAMES}, t as (select p_partkey, translate(lower(trim(name)), '{text.MARKED}', '{text.PLAIN}') as n from nm) select p_partkey, trim(regexp_replace(regexp_replace(n, '^(?:{'|'.join(sorted(text.UNIT_WORDS, key=len, reverse=True))})\\s+(?:de\\s+|du\\s+|d''|of\\s+)?', ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as name from t",
+    f"with {_NAMES}, t as (select p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '^prefecture de ', ''), '^prefecture ', ''), '^sous-prefecture de ', ''), '^sous-prefecture ', '') as n from nm) select p_partkey, trim(regexp_replace(translate(n, 'éèêëàâäôöûüçîï', 'eeeeaaaoouucii'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as name from t",
 )
 def norm_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.array(*map(F.lit, ("Préfecture de ", "Sous-Préfecture ", "Commune d'", "", "REGION ")))
-    after = F.array(*map(F.lit, ("", "-Ést", " (II)", "  Ôuest")))
+    before = F.array(*map(F.lit, ("Préfecture de ", "Sous-Prefecture ", "Prefecture de ", "", "Prefecture De Prefecture ")))
+    after = F.array(*map(F.lit, ("", "-Ést", " (II)", "  Ôuest Ñ")))
     k = F.col("p_partkey")
     name = F.concat(F.element_at(before, (k % 5 + 1).cast("int")), "p_name", F.element_at(after, (k % 4 + 1).cast("int")))
     return table(spark, sf_dir, "part").select("p_partkey", text.normal_name(name).alias("name"))

@@ -63,7 +63,9 @@ def test_substring_match_prefers_equal_then_rank(spark):
 
 
 def test_normal_name(spark):
-    names = {"Préfecture de l'Ouham": "l ouham", "  Bangui  (ville)": "bangui ville", "Sous-Préfecture Bria": "bria", "Ñaña-Éléphant": "nana elephant"}
+    # Prefixes are met before marks are plain, so a marked one stays, and in order, so one may follow another.
+    names = {"Prefecture de l'Ouham": "l ouham", "  Bangui  (ville)\t": "bangui ville", "Sous-Prefecture Bria": "bria", "Préfecture de X": "prefecture de x", "Commune de X": "commune de x", "prefecture de prefecture X": "x",
+             "sous-prefecture de  X²": "x²", "Ñaña-Éléphant Ï": "ñaña elephant i", "prefecture": "prefecture", None: "", "": ""}
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert {r["n"]: r["x"] for r in df.withColumn("x", text.normal_name(F.col("n"))).collect()} == names
 
@@ -151,11 +153,11 @@ def test_running_sums_equal_plain_ones(spark):
     from tessella.operators.ranges import numbered, running_sums
 
     rows = [(g, i * 37 % 101, i % 7) for g in ("a", "b", None) for i in range(101)]
-    got = running_sums(spark.createDataFrame(rows, "g string, o int, v int"), {"s": "v"}, [F.desc("o")], ["g"], {"t": "v"}, ranges=5).collect()
+    got = running_sums(spark.createDataFrame(rows, "g string, o int, v int"), {"s": "v"}, [F.desc("o")], ["g"], {"t": "v"}, range_rows=5).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r["s"] == sum(v for g, o, v in rows if g == r["g"] and o >= r["o"]) and r["t"] == sum(v for g, _, v in rows if g == r["g"])
-    plan = numbered(spark.range(1000), "n", [F.col("id")], ranges=7)
+    plan = numbered(spark.range(1000), "n", [F.col("id")], range_rows=150)
     assert [r["n"] for r in plan.orderBy("id").collect()] == list(range(1, 1001))
     assert "SinglePartition" not in plan._jdf.queryExecution().executedPlan().toString()
 
@@ -201,11 +203,26 @@ def test_conformal_empty_bin_takes_the_quantile_of_all(spark):
     df = spark.createDataFrame([(float(i), float(i) + 1) for i in range(5)] + [(20.0, 26.0)], "y double, m double")
     got = {r["bin"]: (r["n"], r["q"]) for r in conformal.fit(df, "y", "m", [0.0, 5.0, 10.0, 15.0], 0.1).collect()}
     assert got[0] == (5, 1.0) and got[3] == (1, 6.0) and got[1] == got[2] == (0, 6.0)
-    assert conformal.quartile_edges(df, "y")[2:] == [2.0, 3.0, 4.0]
-
-
-def test_bundles_close_over_chains():
-    assert diagnostics.bundle_closure({"a"}, {"b": {"a", "c"}, "c": {"d"}}, [{"d", "e"}, {"x", "y"}]) == {"a", "b", "c", "d", "e"}
+    inf = float("inf")
+    assert conformal.quartile_edges(df, "y", log_scale=False) == [0.0, 1.0, 2.0, 3.0, 4.0, inf]
+    logged = df.selectExpr("log1p(y) as y")
+    assert conformal.quartile_edges(logged, "y") == pytest.approx([0.0, 1.0, 2.0, 3.0, 4.0, inf])
+    assert conformal.quartile_edges(df.where("y < 4"), "y", log_scale=False) == conformal.quartile_edges(df.where("y < 0"), "y") == [0.0, 1.0, inf]
+    assert conformal.quartile_edges(df.selectExpr("if(y > 3, null, y) as y"), "y", log_scale=False) == [0.0, 1.0, inf]
+
+
+def test_bundles_close_in_three_steps():
+    available = set("abcdefghz") | {"flag", "other_flag", "late"}
+    close = lambda stable, two_way=(), rescue=(), guards=(): diagnostics.bundle_closure(set(stable), available, dict(two_way), dict(rescue), dict(guards))
+    assert close("b", {"a": ["b", "c"]}) == ["a", "b", "c"]  # a sibling brings the column and the others
+    assert close("d", {"c": ["d"], "b": ["c"]}) == ["b", "c", "d"]  # bundles are met once, in order
+    assert close("d", {"b": ["c"], "c": ["d"]}) == ["c", "d"]
+    assert close("a", rescue={"a": ["b"], "b": ["c"]}) == ["a", "b", "c"]  # chains
+    assert close("b", rescue={"a": ["b"]}) == ["b"]  # one way only
+    assert close("e", guards={"flag": {"e", "f"}, "other_flag": {"g"}}) == ["e", "flag"]  # not the family
+    assert close("a", {"z": ["flag"]}, {"flag": ["b"]}, {"flag": {"a"}}) == ["a", "flag"]  # a flag brings nothing
+    assert close("a", {"a": ["missing", "b"]}, {"b": ["gone", "c"]}, {"absent": {"a"}}) == ["a", "b", "c"]
+    assert close(["unlisted"]) == ["unlisted"] and close("") == []
 
 
 def test_linkage():
@@ -225,7 +242,8 @@ def test_registered_functions(spark):
 
     register_functions(spark)
     assert [r[0] for r in spark.sql("select * from year_range(2001, 2003)").collect()] == [2001, 2002, 2003]
-    assert spark.sql("select normal_name('Commune d''Élan (x)')").first()[0] == "elan x"
+    assert spark.sql("select normal_name('Sous-Prefecture de Élan (x)')").first()[0] == "elan x" and spark.sql("select normal_name(null)").first()[0] == ""
+    assert spark.sql("select normal_name('Préfecture de X')").first()[0] == "prefecture de x"
     assert spark.sql("select quality_weight('one two three')").first()[0] == 0.1
     assert spark.sql("select ewm_last(v, 0.5) from values (4D), (4D), (null) t(v)").first()[0] == 2.0
     assert round(spark.sql("select haversine_km(0, 0, 0, 1)").first()[0], 1) == 111.2
@@ -261,3 +279,11 @@ def test_stability_selection(spark):
     df = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), (F.pmod(F.xxhash64("id"), F.lit(7))).cast("double").alias("b"), ((F.col("id") % 20) > 9).cast("double").alias("y"))
     got = diagnostics.stability_selection(df, ["a", "b"], "y", rounds=3)
     assert got["a"] == 1.0
+
+
+def test_percent_ranks_of_a_whole_table(spark):
+    from tessella.operators import windows
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate((5, 5, 3, 1, 1, 1, None))], "i int, v int")
+    one = df.withColumn("all", F.lit(0)).withColumn("s", windows.average_percent_rank("v", "all"))
+    assert {r["i"]: r["s"] for r in windows.average_percent_ranks(df, "v", "s").collect()} == {r["i"]: r["s"] for r in one.collect()}
