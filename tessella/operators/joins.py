@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.similarity import similar_names
 from tessella.session import BROADCAST_ROWS
 
 
@@ -108,23 +109,20 @@ def at_offset(df: DataFrame, c: str, out: str, offset: int, cell: str = "cell",
     return df.join(other, [cell, position], "left")
 
 
-def resolve_entities(names: DataFrame, name: str, places: DataFrame, units: list[tuple[str, DataFrame]], least_score: float = 90.0) -> DataFrame:
+def resolve_entities(names: DataFrame, name: str, places: DataFrame, units: list[tuple[str, DataFrame]], least_score: float = 90.0, least_length: int = 3) -> DataFrame:
     """names with place, level and score: an equal place name, else the closest of a score of least_score or more, else an equal unit.
 
-    names and tables hold normalised names. places: place_name, place; units: (level, table with unit_name and unit), finest
-    first. Names that no place equals are compared, once each, with places that share one of their first two letters or the
-    last two, so a gazetteer is never crossed with all names.
+    names and tables hold normalised names; those of fewer than least_length characters resolve to nothing. places: place_name,
+    place; units: (level, table with unit_name and unit), finest first. Of equally close place names the first by name is
+    taken, of equal names the least place. Names that no place equals meet all place names within the score, once each, by
+    shared segments, so a gazetteer is never crossed with all names and no match is missed.
     """
-    from tessella.functions.text import fuzzy_score
-
     n = F.col(name)
-    distinct = names.select(name).where(n.isNotNull() & (n != "")).distinct()
+    distinct = names.select(name).where(F.length(n) >= least_length).distinct()
     exact = distinct.join(places.groupBy(F.col("place_name").alias(name)).agg(F.min("place").alias("_p")), name, "left")
-    ends = lambda c: F.array_distinct(F.array(F.concat(F.lit("a"), F.substring(c, 1, 1)), F.concat(F.lit("b"), F.substring(c, 2, 1)), F.concat(F.lit("z"), F.substring(c, -2, 2))))
-    left = exact.where(F.col("_p").isNull()).select(name, F.explode(ends(name)).alias("_e"))
-    right = places.select("place_name", "place", F.explode(ends("place_name")).alias("_e"))
-    scored = left.join(right, "_e").select(name, "place", "place_name").distinct().withColumn("_s", fuzzy_score(n, F.col("place_name"))).where(F.col("_s") >= least_score)
-    fuzzy = scored.groupBy(name).agg(F.min(F.struct((-F.col("_s")).alias("s"), "place_name", "place")).alias("_f"))
+    near = similar_names(exact.where(F.col("_p").isNull()).select(F.col(name).alias("_left")), places, least_score, "_left", "place_name")
+    best = near.groupBy(F.col("_left").alias(name)).agg(F.min(F.struct((-F.col("score")).alias("s"), "place_name")).alias("_f"))
+    fuzzy = best.join(places.groupBy(F.col("place_name").alias("_of")).agg(F.min("place").alias("place")), F.col("_f.place_name") == F.col("_of")).select(name, F.struct("_f.s", "place").alias("_f"))
     found = exact.join(fuzzy, name, "left").withColumns({"place": F.coalesce("_p", "_f.place"), "level": F.when(F.col("_p").isNotNull(), "exact").when(F.col("_f").isNotNull(), "fuzzy"), "score": F.when(F.col("_p").isNotNull(), 100.0).otherwise(-F.col("_f.s"))}).drop("_p", "_f")
     for level, table in units:
         found = found.join(table.groupBy(F.col("unit_name").alias(name)).agg(F.min("unit").alias("_u")), name, "left")

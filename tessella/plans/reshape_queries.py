@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import ids, repair, text, vectors
 from tessella.operators import aggregates as A
+from tessella.operators import joins as J
 from tessella.operators import ranking as R
+from tessella.operators import similarity as S
 from tessella.operators import spatial as X
 from tessella.plans import frames as P
 from tessella.plans.registry import Registry
@@ -310,4 +312,49 @@ def sparse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy("o_orderpriority", "o_orderstatus", score.alias("score")).agg(F.count("*").alias("n"))
 
 
+# Invented names: the places are named after the parts; customers write them with up to three letters changed, dropped or put in.
+_PLACES = "pl as (select p_partkey as place, substr(md5(p_partkey::varchar), 1, (12 + p_partkey % 9)::int) as place_name from part), np as (select count(*) as n from part)"
+_WRITTEN = f"""{_PLACES}, wr as (select c_custkey, c_nationkey, place_name as p, length(place_name) as n, c_custkey % 6 as kind from customer join np on true join pl on place = c_custkey * 7 % np.n),
+  nm as (select c_custkey, case kind when 0 then p when 1 then substr(p, 1, 4) || substr(p, 6) when 2 then 'x' || p when 3 then substr(p, 1, n - 3) || 'zz' || substr(p, n - 1)
+    when 4 then 'nation ' || c_nationkey else 'y' || substr(p, 2, 5) || 'q' || substr(p, 8) || 'w' end as name from wr)"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("place"), F.substring(F.md5(F.col("p_partkey").cast("string")), F.lit(1), (12 + F.col("p_partkey") % 9).cast("int")).alias("place_name"))
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = _places(spark, sf_dir)
+    n = places.agg(F.count("*").alias("_all"))
+    customers = table(spark, sf_dir, "customer").crossJoin(F.broadcast(n)).select("c_custkey", "c_nationkey", (F.col("c_custkey") * 7 % F.col("_all")).alias("place"))
+    p, kind = F.col("place_name"), F.col("c_custkey") % 6
+    cut = lambda a, b=1 << 30: F.substring(p, a if isinstance(a, Column) else F.lit(a), b if isinstance(b, Column) else F.lit(b))
+    forms = [p, F.concat(cut(1, 4), cut(6)), F.concat(F.lit("x"), p), F.concat(cut(1, F.length(p) - 3), F.lit("zz"), cut(F.length(p) - 1)), F.concat(F.lit("nation "), F.col("c_nationkey").cast("string"))]
+    name = F.concat(F.lit("y"), cut(2, 5), F.lit("q"), cut(8), F.lit("w"))
+    for i, form in enumerate(forms):
+        name = F.when(kind == i, form).otherwise(name)
+    return customers.join(places, "place").select("c_custkey", name.alias("name"))
+
+
+@query("similar_names", f"with {_WRITTEN} select distinct name, place_name as known, round(100 * (1 - levenshtein(name, place_name) / greatest(length(name), length(place_name))::double), 6) as score from nm, pl where 100 * (1 - levenshtein(name, place_name) / greatest(length(name), length(place_name))::double) >= 80")
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.similar_names(_written(spark, sf_dir), _places(spark, sf_dir), 80, right_name="place_name")
+    return found.select("name", F.col("place_name").alias("known"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "resolve_entities",
+    f"""with {_WRITTEN}, ex as (select name, min(place) as place from nm join pl on name = place_name group by name),
+  sc as (select name, place_name, place, 100 * (1 - levenshtein(name, place_name) / greatest(length(name), length(place_name))::double) as s from (select distinct name from nm where name not in (select name from ex)) x, pl),
+  fz as (select name, min(place) as place, max(s) as s from (select *, rank() over (partition by name order by s desc, place_name) as r from sc where s >= 90) y where r = 1 group by name)
+select c_custkey, nm.name, coalesce(ex.place, fz.place, n_nationkey) as place, case when ex.place is not null then 'exact' when fz.place is not null then 'fuzzy' when n_nationkey is not null then 'nation' end as level,
+  round(case when ex.place is not null then 100 else fz.s end, 6) as score from nm left join ex using (name) left join fz using (name) left join nation on nm.name = 'nation ' || n_nationkey""",
+)
+def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' spellings to places: equal, else closest of 90 or more, else a nation."""
+    units = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("unit_name"), F.col("n_nationkey").cast("long").alias("unit"))
+    found = J.resolve_entities(_written(spark, sf_dir), "name", _places(spark, sf_dir), [("nation", units)])
+    return found.select("c_custkey", "name", "place", "level", F.round("score", 6).alias("score"))
+
+
 QUERIES, ORACLE_SQL = query.queries, query.oracle
