@@ -26,10 +26,10 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     "select o_orderpriority, date '2000-01-01' + floor((o_orderdate::date - date '2000-01-01') / 14.0)::int * 14 as date, count(*) as n, sum(round(o_totalprice * 100)::bigint)::bigint as total from orders group by 1, 2",
 )
 def stream_tumbling_14d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as a stream into the panel's windows, upserted into a versioned table."""
+    """Orders as a stream into the panel's windows, upserted into a versioned table, of which a batch rewrites the years that it has."""
     orders = _stream(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ts"), "o_orderpriority", P.cents("o_totalprice").alias("v"))
     folder = f"{shared_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
-    out = VersionedTable(spark, f"{folder}/table")
+    out = VersionedTable(spark, f"{folder}/table", partition="year(date)")
     S.upsert_sink(S.tumbling_steps(orders, "ts", ["o_orderpriority"], "v", 14), out, ["o_orderpriority", "date"], f"{folder}/checkpoint").awaitTermination()
     return out.read()
 

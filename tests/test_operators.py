@@ -133,6 +133,33 @@ def test_versioned_table_survives_a_stop_at_any_step(spark, tmp_path, monkeypatc
     (tmp_path / "t" / "manifests" / "999999999999-x.tmp").write_text("half a manifest")
     t.upsert(new, ["k"])
     assert values(t.read(), "k") == [(1, 1.0), (2, 2.0)]
+    assert t.vacuum() == [] and sorted(n[:4] for n in t.vacuum(0.0)) == ["data", "mani"]  # what the stopped writers left
+    assert values(t.read(), "k") == [(1, 1.0), (2, 2.0)] and t.vacuum(0.0) == []
+
+
+@pytest.mark.parametrize("partition", [None, "k % 4"])
+def test_writers_that_meet_lose_nothing(spark, tmp_path, partition):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table = lambda: upsert.VersionedTable(spark, str(tmp_path / "t"), partition=partition)
+    schema = "k int, x double"
+
+    def write(writer: int) -> None:
+        for i in range(7):  # keys of their own, and one that all write
+            table().upsert(spark.createDataFrame([(100 * writer + i, float(writer)), (-4, float(writer))], schema), ["k"])
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    rows = dict(values(table().read(), "k"))
+    assert {k: x for k, x in rows.items() if k != -4} == {100 * w + i: float(w) for w in range(3) for i in range(7)} and rows[-4] in (0.0, 1.0, 2.0)
+    assert table()._newest()[0] == 21 and len(table()._manifests()) == table().KEEP
+    assert table().vacuum(0.0) == []  # nothing that lost a race stays
+
+
+def test_a_publish_never_replaces_another(spark, tmp_path):
+    t = upsert.VersionedTable(spark, str(tmp_path / "t"))
+    assert t._publish(1, {"": "data/a"}) and not t._publish(1, {"": "data/b"})
+    assert t._newest() == (1, {"": "data/a"}) and not [n for n in t._names("manifests") if n.endswith(".tmp")]
 
 
 def test_upsert_leaves_untouched_partitions(spark, tmp_path):
@@ -140,10 +167,10 @@ def test_upsert_leaves_untouched_partitions(spark, tmp_path):
     row = lambda k, y, x: (k, dt.date(y, 1, 2), x)
     schema = "k int, d date, x double"
     t.upsert(spark.createDataFrame([row(1, 2020, 1.0), row(2, 2021, 2.0)], schema), ["k", "d"])
-    before = t._parts()
+    before = t._newest()[1]
     for _ in range(5):
         t.upsert(spark.createDataFrame([row(2, 2021, 5.0), row(3, 2022, 3.0)], schema), ["k", "d"])
-    after = t._parts()
+    after = t._newest()[1]
     assert after["_part=2020"] == before["_part=2020"] and after["_part=2021"] != before["_part=2021"]
     assert values(t.read(), "k") == [row(1, 2020, 1.0), row(2, 2021, 5.0), row(3, 2022, 3.0)]
     assert len(t._manifests()) == t.KEEP
