@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.repair import no_nan
+from tessella.sources import archives
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -42,19 +39,10 @@ def read_csv_sniffed(spark: SparkSession, path: str, schema: T.StructType) -> Da
 
 
 def read_zipped_table(spark: SparkSession, path: str, columns: dict[int, str], sep: str = "\t") -> DataFrame:
-    """Headerless delimited members of zip archives; rows too short for the columns are dropped. An archive is one task's work."""
-    width = max(columns) + 1
-    names = list(columns.values())
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
-                        rows = [line.split(sep) for line in z.read(member).decode("utf-8", "replace").splitlines()]
-                        yield pd.DataFrame([[r[i] for i in columns] for r in rows if len(r) >= width], columns=names, dtype=str)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, ", ".join(f"`{n}` string" for n in names))
+    """Headerless delimited members of zip archives, as text; rows too short for the columns are dropped. See `archives` for types, bad lines and streams."""
+    archives.register(spark)
+    names = ", ".join(f"`{n}` string" for n in columns.values())
+    return spark.read.format("zipped_tables").schema(names).options(sep=sep, columns=",".join(map(str, columns))).load(path)
 
 
 def read_landed_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
