@@ -2,44 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import prefix_theme
 from tessella.operators.ranges import running_sums
+from tessella.session import materialise
 
 
-def ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Average ranks of each column, as r_<column>.
+def gram(vectors: DataFrame, k: int) -> DataFrame:
+    """(i, j, n, s, ss, p) of all pairs of places of the vectors in _v: over the rows that have both, their number, and the sums of x(i), x(i) ** 2 and x(i) * x(j).
 
-    Values are counted first; ranks are running sums over the distinct values, range by range, joined back.
+    Null and NaN are missing. Each task sums its rows by matrix products, so k ** 2 rows a task are shuffled, whatever the number of rows.
     """
-    for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-        upto = running_sums(counts, {"_upto": "_n"}, [F.col(c)])
-        df = df.join(upto.select(c, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"r_{c}")), c, "left")
-    return df
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            x = b["_v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, k)
+            there = np.isfinite(x)
+            x, m = np.where(there, x, 0.0), there.astype(np.float64)
+            part = np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.indices((k, k)).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(t.ravel()) for t in total]], ["i", "j", "n", "s", "ss", "p"])
+
+    parts = vectors.select("_v").mapInArrow(run, "i long, j long, n double, s double, ss double, p double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss", "p")])
+
+
+def rank_vectors(df: DataFrame, columns: list[str]) -> DataFrame:
+    """_v: of each row the average ranks of its columns, less the column's mean rank; missing where the value is.
+
+    All columns are ranked together: values are counted by (column, value), the counts summed range by range, and the ranks brought back
+    to the rows in one join and one grouping, however many columns there are.
+    """
+    rows = materialise(df.select(F.monotonically_increasing_id().alias("_row"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")))
+    long = rows.select("_row", F.posexplode("_x").alias("_c", "_value")).where("_value is not null")
+    counts = long.groupBy("_c", "_value").agg(F.count("*").alias("_n"))
+    placed = running_sums(counts, {"_upto": "_n"}, [F.col("_value")], ["_c"], {"_all": "_n"})
+    ranks = placed.select("_c", "_value", (F.col("_upto") - (F.col("_n") - 1) / 2 - (F.col("_all") + 1) / 2).alias("_r"))
+    ranked = long.join(ranks, ["_c", "_value"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_r"))).alias("_m"))
+    return ranked.select(F.array(*[F.try_element_at("_m", F.lit(i)) for i in range(len(columns))]).alias("_v"))
 
 
 def spearman_pairs(df: DataFrame, columns: list[str], least: float = 0.0) -> DataFrame:
-    """(a, b, rho) of the pairs of columns whose rank correlation is at least so strong; all pairs in one aggregation."""
-    ranked = ranks(df, columns)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = ranked.agg(*[F.corr(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in pairs])
-    long = row.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "rho")
-    return long.select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "rho").where(F.abs("rho") >= least)
+    """(a, b, rho) of the pairs of columns whose rank correlation is at least so strong, over the rows that have both."""
+    sums = gram(rank_vectors(df, columns), len(columns))
+    other = sums.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("s").alias("t"), F.col("ss").alias("tt"))
+    both = sums.where("i < j").join(other, ["i", "j"])
+    spread = lambda s, ss: F.col("n") * F.col(ss) - F.col(s) * F.col(s)
+    rho = F.try_divide(F.col("n") * F.col("p") - F.col("s") * F.col("t"), F.sqrt(spread("s", "ss") * spread("t", "tt")))
+    name = lambda c: F.element_at(F.array(*map(F.lit, columns)), (F.col(c) + 1).cast("int"))
+    return both.select(name("i").alias("a"), name("j").alias("b"), rho.alias("rho")).where(F.abs("rho") >= least)
 
 
 def moments(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Sums of products of all pairs of columns: one aggregated row, whatever the number of rows."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = df.dropna(subset=columns).agg(*[F.sum(F.col(columns[i]) * F.col(columns[j])) for i, j in pairs]).first()
-    m = np.zeros((len(columns),) * 2)
-    for (i, j), x in zip(pairs, row):
-        m[i, j] = m[j, i] = x or 0.0
+    """Sums of products of all pairs of columns, over the rows that have all of them; the driver holds that matrix alone."""
+    k = len(columns)
+    vectors = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna().select(F.array(*columns).alias("_v"))
+    m = np.zeros((k, k))
+    for r in gram(vectors, k).select("i", "j", "p").collect():
+        m[r["i"], r["j"]] = r["p"]
     return m
 
 

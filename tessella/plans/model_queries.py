@@ -139,9 +139,29 @@ def spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.spearman_pairs(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_linenumber"]).withColumn("rho", F.round("rho", 6))
 
 
-@query("vif_uncentred")
+_VIF = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _determinant(columns: list[str]) -> str:
+    """The determinant of the columns' moments, written out by its first row."""
+    names = {frozenset((a, b)): f"{min(a, b)}__{max(a, b)}" for a in columns for b in columns}
+
+    def minor(rows: list[str], cols: list[str]) -> str:
+        if not rows:
+            return "1"
+        terms = (f"{'-' if i % 2 else '+'} {names[frozenset((rows[0], c))]} * ({minor(rows[1:], cols[:i] + cols[i + 1 :])})" for i, c in enumerate(cols))
+        return f"0 {' '.join(terms)}"
+
+    return minor(columns, columns)
+
+
+@query(
+    "vif_uncentred",
+    f"with m as (select {', '.join(f'sum({a}::double * {b}) as {a}__{b}' for a in _VIF for b in _VIF if a <= b)} from lineitem) "
+    + " union all ".join(f"select '{c}' as column, round({c}__{c} * ({_determinant([x for x in _VIF if x != c])}) / ({_determinant(_VIF)}), 4) as vif from m" for c in _VIF),
+)
 def vif_uncentred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.vif_uncentred(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return diagnostics.vif_uncentred(table(spark, sf_dir, "lineitem"), _VIF).withColumn("vif", F.round("vif", 4))
 
 
 @query("linear_attribution", "with m as (select avg(l_quantity) as q, avg(l_linenumber) as n from lineitem), a as (select l_orderkey, l_linenumber, sum(0.5::double * (l_quantity - q)) as c1, sum(-2.0::double * (l_linenumber - n)) as c2 from lineitem cross join m group by 1, 2) select l_orderkey, l_linenumber, 'amount' as theme, round(c1, 6) as contribution from a union all select l_orderkey, l_linenumber, 'place', round(c2, 6) from a")
