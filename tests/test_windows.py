@@ -93,3 +93,15 @@ def test_one_shuffle_serves_all_windows(panel):
     df = panel.withColumns({"a": windows.lag_zero("v", w), "b": windows.rolling_mean("v", w, 6), "c": windows.forward_fill("v", w, 4)})
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_decay_of_a_long_series_equals_the_recursion(spark):
+    begin, alpha = dt.date(1600, 1, 1), decay.alpha_of(3.0)
+    values = [(i, float((i * 7919) % 101) if i % 5 else None) for i in range(100_000) if not 40_000 < i < 70_000]
+    rows = [(1, begin + dt.timedelta(days=i), v) for i, v in values] + [(2, begin, 3.0), (None, begin, 1.0), (None, begin + dt.timedelta(days=9_000), 2.0)]
+    got = {(r["cell"], r["date"]): r["y"] for r in decay.decay_fold(spark.createDataFrame(rows, "cell int, date date, v double").repartition(4), "v", "y", alpha).collect()}
+    y = None
+    for i, v in values:
+        y = (v or 0.0) if y is None else alpha * (v or 0.0) + (1 - alpha) * y
+        assert got[1, begin + dt.timedelta(days=i)] == pytest.approx(y, rel=1e-12, abs=1e-300)
+    assert got[2, begin] == pytest.approx(3.0) and got[None, begin + dt.timedelta(days=9_000)] == pytest.approx(alpha * 2 + (1 - alpha)) and len(got) == len(rows)
