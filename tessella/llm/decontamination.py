@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.carried import carry
 from tessella.session import compact, materialise, small
 
 WINDOW = 13
@@ -75,7 +76,7 @@ def window_digest(words: list[bytes]) -> bytes:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item (string), size, prints (array of long) and windows (array of digests) of each item with an id and words."""
+    """item (string), size, prints (array of long) and windows (array of digests) of each item with words; item is null where its id is."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,7 +89,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                     rows.append((item, size, prints, [window_digest(words[i : i + size]) for i in range(len(words) - size + 1)]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary())))], ["item", "size", "prints", "windows"])
 
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     return materialise(compact(items.mapInArrow(mark, "item string, size int, prints array<long>, windows array<binary>")))
 
 
@@ -177,7 +178,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """A row for each row of docs: keep, n_words, n_hit, n_items, items (sorted as strings) and contaminated: n_hit > 0 and share * n_hit >= n_words.
 
     A null or empty text has no words and is clean; so is any document when the benchmark is empty. Items without words
-    or id match nothing; ids may be of any type that has a text. Rows that repeat are judged one by one; other columns of
+    match nothing; the words of one without id are hit, but it isn't among the items. Ids may be of any type that has a text. Rows that repeat are judged one by one; other columns of
     docs are not read.
     """
     judged = match_windows(docs, benchmark, keep, window)
@@ -186,6 +187,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, as they are. Rows are met by doc_id and a digest of their text."""
+    return carry(docs, ("doc_id", "text"), lambda own: _decontaminate(own, benchmark, window, share))
+
+
+def _decontaminate(docs: DataFrame, benchmark: DataFrame, window: int, share: int) -> DataFrame:
     key = {"_bench_id": F.col("doc_id").cast("string"), "_bench_digest": F.xxhash64("doc_id", "text")}
     keyed = docs.withColumns(key)
     gone = contamination(keyed.select(*key, "text"), benchmark, window, share, tuple(key)).where("contaminated").select(F.col("_bench_id").alias("_gone_id"), F.col("_bench_digest").alias("_gone_digest")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.carried import carry
 from tessella.session import compact, materialise, small
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,7 +99,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     words, one the rest and the others none (which of them is open). An empty table gives no rows. Columns that clash with
     the new ones are replaced. without with_text the text isn't returned, and is read once instead of twice.
     """
-    rows = keyed(docs.drop("size", "source_size", "target", "taken"))
+    docs = docs.drop("size", "source_size", "target", "taken")
+    return carry(docs, ("doc_id", "source", "text"), lambda own: _mix(own, weights, max_epochs, with_text))
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, with_text: bool) -> DataFrame:
+    rows = keyed(docs)
     keys = ("_source", "_range", "_key", "size")
     slim = materialise(rows.select(*keys) if with_text else rows.drop("text"))
     plan = small(mix_plan(slim.select(*keys), weights, max_epochs))

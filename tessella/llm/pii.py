@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.carried import carry
 from tessella.session import BROADCAST_ROWS, compact, materialise, small
 
 # The contract's patterns, written so that no match backtracks (possessive; a match begins where a run of its
@@ -176,6 +177,10 @@ def redact(docs: DataFrame) -> DataFrame:
     Of spans that overlap, the first stays whole and the others are cut off with it. Rows are met by doc_id and a digest of
     their text, so repeated rows are redacted alike; a null text stays null.
     """
+    return carry(docs, ("doc_id", "text", "n_chars"), _redact)
+
+
+def _redact(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumns({"_pii_id": F.col("doc_id").cast("string"), "_pii_digest": F.xxhash64("doc_id", "text")})
     key = ("_pii_id", "_pii_digest")
     w = Window.partitionBy(*key).orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)

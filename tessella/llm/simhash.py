@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.carried import carry
 from tessella.llm.components import components
 from tessella.llm.decontamination import grams
 from tessella.session import compact, materialise, scratch, small
@@ -373,6 +374,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     If that doc_id has several rows, one of them stays.
     """
+    return carry(docs, ("doc_id", "text"), _drop_near_duplicates)
+
+
+def _drop_near_duplicates(docs: DataFrame) -> DataFrame:
     judged = materialise(compact(similar_documents(docs)))
     gone = judged.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null")
     dropped = small(materialise(compact(gone.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct())))

@@ -63,3 +63,13 @@ def test_odd_rows(spark, odd):
     assert D.decontaminate(odd, items).columns == odd.columns
     assert D.contamination(odd, items.limit(0)).where("contaminated").count() == 0
     assert D.contamination(odd.limit(0), items).count() == 0
+
+
+def test_items_without_id_are_hit_but_not_counted(spark, docs):
+    span = " ".join(f"w{i}" for i in range(15))
+    items = [(None, span), (None, "lone"), (3, f"{span} w15"), (4, None), (None, None)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"]) for r in D.contamination(docs({1: f"x {span} y", 2: "a lone word", 3: f"{span} w15", 4: None}), table).collect()}
+    assert got == {1: (15, 1, ["3"]), 2: (1, 0, []), 3: (16, 1, ["3"]), 4: (0, 0, [])}
+    only = spark.createDataFrame(items[:2], "item_id long, text string")
+    assert [(r["n_hit"], r["n_items"], r["contaminated"]) for r in D.contamination(docs({1: span}), only).collect()] == [(15, 0, True)]
