@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geo import haversine_km
@@ -12,28 +14,28 @@ from tessella.session import materialise
 BROADCAST_POINTS = 10_000
 
 
-def nearest_point(cells: DataFrame, points: DataFrame, key: str, point: str, keep: list[str] = (), limit: int = BROADCAST_POINTS) -> DataFrame:
+def nearest_point(cells: DataFrame, points: DataFrame, key: str, point: str, keep: list[str] = (), limit: int = BROADCAST_POINTS, km: Callable[..., Column] = haversine_km) -> DataFrame:
     """For each cell (key, lat, lon) the point (point, plat, plon) at the least planar distance, of equal ones the least id.
 
     Returns key, point, keep, planar (degrees), degrees_km (111 km a degree) and geodesic_km. The order is by planar degrees,
-    so the point need not be the nearest by geodesic. Up to `limit` points (counted) are broadcast; more are met by square.
+    so the point need not be the nearest by geodesic; `km` gives its distance (`geo.spheroid_km` on the spheroid). Up to `limit` points (counted) are broadcast; more are met by square.
     """
     n = points.limit(limit + 1).count()
     if n <= limit:
         pairs = cells.select(key, "lat", "lon").crossJoin(F.broadcast(points))
-        return _best(pairs, key, point, keep)
-    return _nearest_by_square(cells, points, key, point, keep)
+        return _best(pairs, key, point, keep, km)
+    return _nearest_by_square(cells, points, key, point, keep, km)
 
 
-def _best(pairs: DataFrame, key: str, point: str, keep: list[str]) -> DataFrame:
+def _best(pairs: DataFrame, key: str, point: str, keep: list[str], km: Callable[..., Column]) -> DataFrame:
     planar = F.sqrt(F.pow(F.col("lat") - F.col("plat"), 2) + F.pow(F.col("lon") - F.col("plon"), 2))
     row = F.struct(planar.alias("planar"), F.col(point), "plat", "plon", *keep)
     best = pairs.groupBy(key, "lat", "lon").agg(F.min(row).alias("_b"))
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("_b.plat"), F.col("_b.plon"))
-    return best.select(key, F.col(f"_b.{point}").alias(point), *[F.col(f"_b.{c}").alias(c) for c in keep], F.col("_b.planar").alias("planar"), (F.col("_b.planar") * 111).alias("degrees_km"), km.alias("geodesic_km"))
+    far = km(F.col("lat"), F.col("lon"), F.col("_b.plat"), F.col("_b.plon"))
+    return best.select(key, F.col(f"_b.{point}").alias(point), *[F.col(f"_b.{c}").alias(c) for c in keep], F.col("_b.planar").alias("planar"), (F.col("_b.planar") * 111).alias("degrees_km"), far.alias("geodesic_km"))
 
 
-def _nearest_by_square(cells: DataFrame, points: DataFrame, key: str, point: str, keep: list[str]) -> DataFrame:
+def _nearest_by_square(cells: DataFrame, points: DataFrame, key: str, point: str, keep: list[str], km: Callable[..., Column]) -> DataFrame:
     """Rings of grid squares, twice as wide each time, until a point is nearer than the ring's reach."""
     box = points.agg(F.min("plat"), F.max("plat"), F.min("plon"), F.max("plon"), F.count("*")).first()
     extent = max(box[1] - box[0], box[3] - box[2], 1e-9)
@@ -45,7 +47,7 @@ def _nearest_by_square(cells: DataFrame, points: DataFrame, key: str, point: str
         square = lambda c: F.floor(F.col(c) / side).cast("long")
         around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
         near = todo.withColumn("_x", F.explode(F.transform(around, lambda d: square("lat") + d))).withColumn("_y", F.explode(F.transform(around, lambda d: square("lon") + d)))
-        found = materialise(_best(near.join(points.withColumns({"_x": square("plat"), "_y": square("plon")}), ["_x", "_y"]), key, point, keep))
+        found = materialise(_best(near.join(points.withColumns({"_x": square("plat"), "_y": square("plon")}), ["_x", "_y"]), key, point, keep, km))
         sure = found if side > whole else found.where(F.col("planar") <= side)
         done = sure if done is None else done.unionByName(sure)
         todo = materialise(todo.join(sure.select(key), key, "left_anti"))

@@ -302,6 +302,27 @@ def nearest_planar_then_geodesic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(cells, "c_custkey").select("c_custkey", "s_suppkey", F.round("geodesic_km", 6).alias("geodesic_km"), F.round(capital, 6).alias("capital_km"))
 
 
+_FLAT = "(1 / 298.257223563::double)"
+_ARC = """*, sqrt(pow(cos(u2) * sin(x), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(x), 2)) as ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(x) as cs, atan2(ss, cs) as s,
+      case when ss = 0 then 0.0::double else cos(u1) * cos(u2) * sin(x) / ss end as sa, 1 - sa * sa as ca, case when ca > 1e-15 then cs - 2 * sin(u1) * sin(u2) / ca else 0.0::double end as cm"""
+
+
+@query(
+    "nearest_planar_then_spheroid",
+    f"""{_NEAREST.replace("with ", "with recursive ", 1)}, g as (select c_custkey, b[2] as s_suppkey, radians((b[4] - lon)::double) as l, atan((1 - {_FLAT}) * tan(radians(lat::double))) as u1, atan((1 - {_FLAT}) * tan(radians(b[3]::double))) as u2 from n),
+    v(c_custkey, s_suppkey, l, u1, u2, x, i) as (select c_custkey, s_suppkey, l, u1, u2, l, 0 from g union all
+      select c_custkey, s_suppkey, l, u1, u2, l + (1 - c) * {_FLAT} * sa * (s + c * ss * (cm + c * cs * (2 * cm * cm - 1))), i + 1 from (select *, {_FLAT} / 16 * ca * (4 + {_FLAT} * (4 - 3 * ca)) as c from (select {_ARC} from v where i < 15))),
+    k as (select *, ca * (1 / pow(1 - {_FLAT}, 2) - 1) as u, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) as b from (select {_ARC} from v where i = 15))
+    select c_custkey, s_suppkey, round(6378.137::double * (1 - {_FLAT}) * (1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))) * (s - b * ss * (cm + b / 4 * (cs * (2 * cm * cm - 1) - b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))), 3) as spheroid_km from k""",
+)
+def nearest_planar_then_spheroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's supplier nearest by planar degrees, with its distance on the spheroid."""
+    from tessella.functions.geo import spheroid_km
+
+    found = X.nearest_point(*_points(spark, sf_dir), "c_custkey", "s_suppkey", limit=0, km=spheroid_km)
+    return found.select("c_custkey", "s_suppkey", F.round("geodesic_km", 3).alias("spheroid_km"))
+
+
 @query(
     "neighbour_sum_ring1",
     f"with {P.ORDER_PANEL_SQL}, e as (select n_nationkey::bigint as cell, (n_nationkey + k + 25) % 25 as neighbour from nation cross join (select unnest([-1, 1]) as k) x), s as (select e.cell, op.date, sum(op.v)::bigint as ring from e join op on op.cell = e.neighbour group by all) select op.cell, op.date, coalesce(ring, 0)::bigint as ring from op left join s using (cell, date)",
