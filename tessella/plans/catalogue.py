@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import data_queries, geo_queries, model_queries, panel_queries, reshape_queries, rule_queries, stream_queries
+from tessella.plans import data_queries, explain_queries, geo_queries, model_queries, panel_queries, reshape_queries, rule_queries, stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (panel_queries, reshape_queries, data_queries, model_queries, stream_queries, rule_queries, geo_queries)
+MODULES = (panel_queries, reshape_queries, data_queries, model_queries, stream_queries, rule_queries, geo_queries, explain_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.geo import hex_q, hex_r
 from tessella.operators import joins as J
 from tessella.operators import polygons as G
+from tessella.operators.terrain import terrain
 from tessella.plans import frames as P
 from tessella.plans.registry import Registry
 from tessella.session import table
@@ -75,4 +76,36 @@ def polygon_largest_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(hex_q(F.col("cell")).alias("q"), hex_r(F.col("cell")).alias("r"), "name", "area")
 
 
+def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pixel table of line items: rows of 30 orders, columns by part; the value is the quantity sold, -1 (no data) for a multiple of 17."""
+    sold = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey div 30").alias("row"), F.pmod("l_partkey", F.lit(40)).alias("col")).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
+    return sold.select("row", "col", F.when(F.col("v") % 17 == 0, -1.0).otherwise(F.col("v").cast("double")).alias("value"))
+
+
+_NEAR = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
+_ALL = [(i, j) for i in range(3) for j in range(3)]
+_TERRAIN = f"""
+    p as (select l_orderkey // 30 as row, l_partkey % 40 as col, case when sum(l_quantity::bigint) % 17 <> 0 then sum(l_quantity::bigint)::double end as value from lineitem group by all),
+    x as (select min(row) as r0, max(row) as r1, min(col) as c0, max(col) as c1 from p),
+    a as (select p.row, p.col, p.value as a11, p.row = r0 as north, p.row = r1 as south, p.col = c0 as west, p.col = c1 as east, {", ".join(f"n{i + 1}{j + 1}.value as a{i + 1}{j + 1}" for i, j in _NEAR)}
+      from p cross join x {" ".join(f"left join p n{i + 1}{j + 1} on n{i + 1}{j + 1}.row = p.row + {i} and n{i + 1}{j + 1}.col = p.col + {j}" for i, j in _NEAR)}),
+    b as (select *, {", ".join(f"a{i}1 as b{i}1, case when west and (north or south) then a{i}1 when west then 2 * a{i}1 - a{i}2 else a{i}0 end as b{i}0, case when east and (north or south) then a{i}1 when east then 2 * a{i}1 - a{i}0 else a{i}2 end as b{i}2" for i in range(3))} from a),
+    d as (select *, {", ".join(f"coalesce(b1{j}, a11) as d1{j}, coalesce(case when north then 2 * b1{j} - b2{j} else b0{j} end, a11) as d0{j}, coalesce(case when south then 2 * b1{j} - b0{j} else b2{j} end, a11) as d2{j}" for j in range(3))} from b),
+    t as (select row, col, a11 as value, case when a11 is not null then degrees(atan(sqrt(pow(d00 + 2 * d10 + d20 - d02 - 2 * d12 - d22, 2) + pow(d20 + 2 * d21 + d22 - d00 - 2 * d01 - d02, 2)) / 800)) end as slope, sqrt({" + ".join(f"pow(d{i}{j} - a11, 2)" for i, j in _ALL)}) as ruggedness from d)"""
+
+
+@query("terrain_slope", f"with {_TERRAIN} select row, col, round(slope, 6) as slope, round(ruggedness, 6) as ruggedness from t")
+def terrain_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slope and ruggedness of each pixel. The SQL joins each pixel with its eight neighbours instead of dealing tiles."""
+    found = terrain(heights(spark, sf_dir), nodata=-1.0, scale=100.0)
+    return found.select("row", "col", F.round("slope", 6).alias("slope"), F.round("ruggedness", 6).alias("ruggedness"))
+
+
+@query("terrain_by_cell", f"with {_TERRAIN} select row // 16 as cell, round(avg(value), 6) as elevation, round(avg(slope), 6) as slope, round(avg(ruggedness), 6) as ruggedness from t group by all")
+def terrain_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of height, slope and ruggedness over the valid pixels of each cell of sixteen rows."""
+    found = terrain(heights(spark, sf_dir), nodata=-1.0, scale=100.0)
+    return found.groupBy(F.expr("row div 16").alias("cell")).agg(*[F.round(F.avg(c), 6).alias(n) for c, n in (("value", "elevation"), ("slope", "slope"), ("ruggedness", "ruggedness"))])
+
+
 QUERIES, ORACLE_SQL = query.queries, query.oracle
