@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from tessella.plans.model.ensemble import Hurdle, with_inputs
+
 #: A test at a split: the threshold (left if at most that), or the categories that go left; and whether the path goes left.
 Test = tuple[float | tuple[float, ...], bool]
 
@@ -132,3 +134,35 @@ def blended(themes: DataFrame, weights: dict[str, float], keys: list[str]) -> Da
     table = F.create_map(*[F.lit(v) for pair in weights.items() for v in pair]) if weights else F.create_map().cast("map<string,double>")
     weighed = themes.withColumn("contribution", F.coalesce(table[F.col("theme")], F.lit(0.0)) * F.col("contribution"))
     return weighed.groupBy(*keys, "feature").agg(F.sum("contribution").alias("contribution"))
+
+
+def meta_weights(h: Hurdle) -> dict[str, float]:
+    """What the meta classifier makes of each theme's probability: its coefficient, or a boosted one's importance."""
+    values = h.meta_class.featureImportances if hasattr(h.meta_class, "trees") else h.meta_class.coefficients
+    return {t.name: float(values[i]) for i, t in enumerate(h.themes)}
+
+
+def theme_contributions(h: Hurdle, df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, theme, feature, contribution of each theme's classifier: of boosted trees by `contributions`, of a logistic one weight times scaled value.
+
+    Scaled values have mean 0, so both are against the mean row. Features of a theme with components are these, as theme_c0 and so on.
+    """
+    out = None
+    for t in h.themes:
+        rows = h.prepared[t.name].transform(with_inputs(df, h.themes).select(*dict.fromkeys([*keys, *t.features])))
+        model, parts = h.classifiers[t.name], f"{t.name}_c" in rows.columns
+        features = f"{t.name}_c" if parts else f"{t.name}_x"
+        names = [f"{features}{i}" for i in range(model.numFeatures)] if parts else list(t.features)
+        if hasattr(model, "trees"):
+            explained = contributions(model, rows, keys, features)
+        else:
+            weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
+            explained = rows.select(*keys, F.zip_with(vector_to_array(features), weights, lambda x, w: x * w).alias("contributions"))
+        one = long_contributions(explained, keys, names).select(*keys, F.lit(t.name).alias("theme"), "feature", "contribution")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def explain(h: Hurdle, df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, feature, contribution to the whole model's probability of any event: the themes' contributions by the meta model's weights."""
+    return blended(theme_contributions(h, df, keys), meta_weights(h), keys)

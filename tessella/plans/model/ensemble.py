@@ -27,6 +27,29 @@ class Theme:
     variance: float | None = 0.95
 
 
+def load_themes(settings: dict, kept: set[str] | None = None) -> list[Theme]:
+    """The enabled themes of settings["submodels"], each {"features": [...], "enabled": true, "variance": none}, in their order.
+
+    A theme keeps the features in `kept`, if given, once each; one that keeps none is left out. A theme without features is an error.
+    """
+    out = []
+    for name, theme in (settings.get("submodels") or {}).items():
+        if not theme.get("enabled", True):
+            continue
+        if not theme.get("features"):
+            raise ValueError(f"theme {name} has no features")
+        features = tuple(c for c in dict.fromkeys(theme["features"]) if kept is None or c in kept)
+        if features:
+            out.append(Theme(name, features, theme.get("variance")))
+    return out
+
+
+def with_inputs(df: DataFrame, themes: list[Theme]) -> DataFrame:
+    """df with every input of the themes as a double: a column that it lacks is 0; nulls stay for the themes' own medians."""
+    inputs = dict.fromkeys(c for t in themes for c in t.features)
+    return df.withColumns({c: F.col(c).cast("double") if c in df.columns else F.lit(0.0) for c in inputs})
+
+
 def prepare(df: DataFrame, theme: Theme) -> PipelineModel:
     """Median imputation, standardisation and, if asked, the components that hold the share of the variance."""
     filled = [f"{c}_filled" for c in theme.features]
@@ -71,8 +94,8 @@ class Hurdle:
         return df
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """df with prob, mean_if_any and expected = prob * mean_if_any."""
-        x = self.base(df)
+        """df with prob, mean_if_any and expected = prob * mean_if_any; inputs that df lacks count as 0."""
+        x = self.base(with_inputs(df, self.themes))
         assembled = _assemble(x, self.themes)
         x = self.meta_class.transform(assembled).withColumn("prob", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
         if self.calibrator is not None:
@@ -148,12 +171,15 @@ class Calibrator:
         return self.model.transform(df.withColumn("_score", F.col(score))).withColumn(score, calibrated("prediction")).drop("prediction", "_score")
 
 
-def fit(df: DataFrame, themes: list[Theme], target: str, date: str, folds: int = 4, linear: bool = True, calibration: str = "none", split: str = "temporal_tail", fraction: float = 0.2) -> Hurdle:
+def fit(df: DataFrame, themes: list[Theme], target: str, date: str, folds: int = 4, linear: bool = True, calibration: str = "none", split: str = "temporal_tail", fraction: float = 0.2, meta: str = "logistic", meta_params: dict | None = None) -> Hurdle:
     """Out-of-fold predictions over expanding blocks of dates train the meta models; base models are refitted on all rows.
 
-    linear takes logistic and Poisson models, else boosted trees, for the meta model of counts too. calibration: none,
+    linear takes logistic and Poisson models, else boosted trees, for the meta model of counts too. meta is the classifier
+    over the themes' probabilities, logistic or boosted, and meta_params go over its defaults. calibration: none,
     sigmoid or isotonic, fitted on out-of-fold rows that calibration_split keeps from the meta models.
     """
+    if meta not in ("logistic", "boosted"):
+        raise ValueError(f"unknown meta model {meta}")
     columns = sorted({c for t in themes for c in t.features} | {target, date})
     data = materialise(date_folds(df.select(*columns), date, folds))
     out = []
@@ -169,7 +195,9 @@ def fit(df: DataFrame, themes: list[Theme], target: str, date: str, folds: int =
         parts = materialise(calibration_split(oof.withColumn("_row", F.monotonically_increasing_id()), "_any", [date, "_row"], split, fraction).drop("_row"))
         held, oof = parts.where("_calibrate"), parts.where("not _calibrate")
     h = _base_models(data, themes, target, linear)
-    h.meta_class = LogisticRegression(regParam=0.1, featuresCol="meta_x", labelCol="_any").fit(oof)
+    defaults = {"regParam": 0.1} if meta == "logistic" else {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": SEED}
+    kind = LogisticRegression if meta == "logistic" else GBTClassifier
+    h.meta_class = kind(featuresCol="meta_x", labelCol="_any", **(defaults | (meta_params or {}))).fit(oof)
     count = GeneralizedLinearRegression(family="poisson", link="log", regParam=0.1, maxIter=20, featuresCol="meta_x", labelCol=target) if linear else GBTRegressor(maxIter=20, maxDepth=4, seed=SEED, featuresCol="meta_x", labelCol=target)
     h.meta_count = count.fit(oof.where(F.col(target) > 0))
     if held is not None:

@@ -61,3 +61,35 @@ def test_permutation_importance(rows):
     predict = lambda df: df.withColumn("p", F.col("x")).drop("x").join(truth, "id").withColumnRenamed("truth", "x")
     got = ensemble.permutation_importance(data, predict, metric, ["x", "z"], "id")
     assert got["x"] > 1 and abs(got["z"]) < 1e-9
+
+
+def test_themes_from_settings():
+    settings = {"submodels": {"a": {"features": ["x", "z", "x"]}, "off": {"enabled": False, "features": ["x"]}, "b": {"enabled": True, "features": ["z"], "variance": 0.9}}}
+    assert ensemble.load_themes(settings) == [ensemble.Theme("a", ("x", "z"), None), ensemble.Theme("b", ("z",), 0.9)]
+    assert ensemble.load_themes(settings, kept={"x"}) == [ensemble.Theme("a", ("x",), None)]
+    assert ensemble.load_themes({}) == []
+    with pytest.raises(ValueError):
+        ensemble.load_themes({"submodels": {"a": {"features": []}}})
+
+
+def test_boosted_meta_model_missing_inputs_and_explanations(rows):
+    from tessella.plans.model import attributions
+
+    themes = ensemble.load_themes({"submodels": {"a": {"features": ["x", "z"]}, "b": {"features": ["z"]}}})
+    h = ensemble.fit(rows, themes, "y", "date", folds=2, meta="boosted", meta_params={"maxIter": 3})
+    assert h.meta_class.__class__.__name__ == "GBTClassificationModel" and h.meta_class.getNumTrees == 3
+    got = h.predict(rows).toPandas()
+    assert got["prob"].between(0, 1).all() and got[got["y"] > 0]["prob"].mean() > got[got["y"] == 0]["prob"].mean() + 0.1
+    lacking, zero = (h.predict(d).select("id", "expected").orderBy("id").collect() for d in (rows.drop("z"), rows.withColumn("z", F.lit(0.0))))
+    assert lacking == zero
+    themed = attributions.theme_contributions(h, rows, ["id"]).toPandas()
+    model, x = h.classifiers["a"], h.prepared["a"].transform(rows)
+    margin = x.select("id", attributions.vector_to_array("a_x").alias("v")).toPandas().set_index("id")["v"].map(lambda v: float(np.dot(v, model.coefficients.toArray())))
+    summed = themed[themed["theme"] == "a"].groupby("id")["contribution"].sum()
+    assert np.allclose(summed.sort_index(), margin.sort_index())
+    weights = attributions.meta_weights(h)
+    whole = attributions.explain(h, rows, ["id"]).toPandas()
+    expected = themed.assign(c=themed["contribution"] * themed["theme"].map(weights)).groupby(["id", "feature"])["c"].sum()
+    assert np.allclose(whole.set_index(["id", "feature"])["contribution"].sort_index(), expected.sort_index())
+    with pytest.raises(ValueError):
+        ensemble.fit(rows, themes, "y", "date", meta="other")
