@@ -87,10 +87,10 @@ class Hurdle:
 
     def base(self, df: DataFrame) -> DataFrame:
         for t in self.themes:
-            drop = [c for c in ("rawPrediction", "probability", "prediction") if c in df.columns]
-            df = self.prepared[t.name].transform(df.drop(*drop))
+            own = [c for c in df.columns if c not in ("rawPrediction", "probability", "prediction")]
+            df = self.prepared[t.name].transform(df.select(*own))
             df = self.classifiers[t.name].transform(df).withColumn(f"p_{t.name}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-            df = self.regressors[t.name].transform(df).withColumn(f"m_{t.name}", F.least(F.lit(500.0), F.greatest(F.lit(0.0), F.col("prediction")))).drop("prediction", *[c for c in df.columns if c.startswith(f"{t.name}_") or c.endswith("_filled")])
+            df = self.regressors[t.name].transform(df).withColumn(f"m_{t.name}", F.least(F.lit(500.0), F.greatest(F.lit(0.0), F.col("prediction")))).select(*dict.fromkeys([*own, f"p_{t.name}", f"m_{t.name}"]))
         return df
 
     def predict(self, df: DataFrame) -> DataFrame:

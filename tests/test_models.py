@@ -78,8 +78,8 @@ def test_boosted_meta_model_missing_inputs_and_explanations(rows):
     themes = ensemble.load_themes({"submodels": {"a": {"features": ["x", "z"]}, "b": {"features": ["z"]}}})
     h = ensemble.fit(rows, themes, "y", "date", folds=2, meta="boosted", meta_params={"maxIter": 3})
     assert h.meta_class.__class__.__name__ == "GBTClassificationModel" and h.meta_class.getNumTrees == 3
-    got = h.predict(rows).toPandas()
-    assert got["prob"].between(0, 1).all() and got[got["y"] > 0]["prob"].mean() > got[got["y"] == 0]["prob"].mean() + 0.1
+    got = h.predict(rows.withColumn("a_note", F.lit(1))).toPandas()
+    assert (got["a_note"] == 1).all() and got["prob"].between(0, 1).all() and got[got["y"] > 0]["prob"].mean() > got[got["y"] == 0]["prob"].mean() + 0.1
     lacking, zero = (h.predict(d).select("id", "expected").orderBy("id").collect() for d in (rows.drop("z"), rows.withColumn("z", F.lit(0.0))))
     assert lacking == zero
     themed = attributions.theme_contributions(h, rows, ["id"]).toPandas()
