@@ -135,3 +135,29 @@ def test_wide_sketches_never_understate_the_overlap():
         y = np.concatenate((x[:both], rng.integers(-(2**62), 2**62, m - both)))
         assert simhash.most_overlap(simhash.wide_sketch(x), simhash.wide_sketch(y), n, m) >= both
     assert simhash.most_overlap(simhash.wide_sketch(x), simhash.wide_sketch(-x), n, n) < 0.6 * n
+
+
+def test_documents_that_only_share_phrases_do_not_meet(spark, docs):
+    rng = random.Random(11)
+    phrases = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(6)]
+    texts = {d: " ".join([rng.choice(phrases), *(f"d{d}w{i}" for i in range(120))]) for d in range(240)}
+    bits = simhash.group_bits(len(texts))
+    sets = simhash.shingle_prints(docs(texts), 5, simhash.n_sketches(bits, 0.8))
+    links = simhash.met_members(sets, bits, 0.8).where("least is not null or before is not null")
+    assert links.count() < len(texts)
+
+
+def test_recall_at_the_least_similarity(spark, docs):
+    rng = random.Random(12)
+    texts = {}
+    for k in range(0, 400, 2):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(rng.choice((60, 150, 400)))]
+        texts[k] = " ".join(words)
+        for i in range(rng.randrange(7), len(words), 48):
+            words[i] = "new"
+        texts[k + 1] = " ".join(words)
+    want = plain_similar(texts)
+    near = [i for i, c in want.items() if c != i]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs(texts)).collect()}
+    assert len(near) > 50 and sum(got[i] == want[i] for i in near) >= 0.95 * len(near)
+    assert all(got[i] in (i, want[i]) for i in texts)
