@@ -314,3 +314,14 @@ def test_percent_ranks_of_a_whole_table(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate((5, 5, 3, 1, 1, 1, None))], "i int, v int")
     one = df.withColumn("all", F.lit(0)).withColumn("s", windows.average_percent_rank("v", "all"))
     assert {r["i"]: r["s"] for r in windows.average_percent_ranks(df, "v", "s").collect()} == {r["i"]: r["s"] for r in one.collect()}
+
+
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_nearest_point_meets_each_place_once(spark, limit, monkeypatch):
+    met, best = [], spatial._best
+    monkeypatch.setattr(spatial, "_best", lambda pairs, *a: met.append(pairs.count()) or best(pairs, *a))
+    cells = spark.range(600).select(F.col("id").alias("c"), (F.col("id") % 3).cast("double").alias("lat"), (F.col("id") % 2).cast("double").alias("lon"))
+    points = spark.range(400).select(F.col("id").alias("p"), (F.col("id") % 4).cast("double").alias("plat"), F.lit(0.0).alias("plon"), (F.col("id") + 1).alias("k"))
+    got = {r["c"]: (r["p"], r["k"], r["planar"]) for r in spatial.nearest_point(cells, points, "c", "p", ["k"], limit=limit).collect()}
+    assert got == {c: (c % 3, c % 3 + 1, float(c % 2)) for c in range(600)}
+    assert sum(met) <= 3 * 6 * 4
