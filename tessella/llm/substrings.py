@@ -25,12 +25,17 @@ _word = re.compile(r"\S+")
 
 def inner_cuts(text: str, start: int, end: int) -> list[int]:
     """Places to cut text[start:end], a sentence, at. Whether a word is one depends on the REACH words on either side alone."""
-    words = list(_word.finditer(text, start, end))
+    words = text[start:end].split()
     if len(words) <= 2 * REACH:
         return []
-    plain = [w[0].lower().encode("utf-8", "surrogatepass") for w in words]
-    marks = [zlib.crc32(b" ".join(plain[i : i + 2])) for i in range(len(words))]
-    return [words[i].start() for i in range(REACH, len(words) - REACH) if marks[i] < min(marks[i - REACH + 1 : i]) and marks[i] <= min(marks[i + 1 : i + REACH])]
+    plain = [w.encode("utf-8", "surrogatepass") for w in text[start:end].lower().split()]
+    marks = [zlib.crc32(b"%b %b" % pair) for pair in zip(plain, plain[1:])] + [zlib.crc32(plain[-1])]
+    near = [i for i in range(REACH, len(words) - REACH) if marks[i - 1] > marks[i] <= marks[i + 1]]
+    least = [i for i in near if marks[i] < min(marks[i - REACH + 1 : i]) and marks[i] <= min(marks[i + 1 : i + REACH])]
+    if not least:
+        return []
+    starts = [w.start() for w in _word.finditer(text, start, end)]
+    return [starts[i] for i in least]
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes | None]]:

@@ -99,3 +99,21 @@ def test_spans_of_50_words_leave_little(spark):
             seen.add(digest)
             k += n
     assert of > 1000 and stay < 0.07 * of
+
+
+def test_cuts_are_the_places_that_marks_set_and_only_they_are_looked_up(monkeypatch):
+    import random
+    import zlib
+
+    from tessella.llm import substrings as S
+
+    rng = random.Random(4)
+    for n in (0, 5, 16, 17, 60, 400):
+        text = "".join(rng.choice(("Ab", "İx", "ΣΑΣ", "w", "\ud800", "é")) + rng.choice((" ", "\x85", "  ", "\x1c")) for _ in range(n))
+        words = [(m.start(), m[0].lower().encode("utf-8", "surrogatepass")) for m in S._word.finditer(text)]
+        marks = [zlib.crc32(b" ".join(w for _, w in words[i : i + 2])) for i in range(n)]
+        near = S.REACH - 1
+        want = [words[i][0] for i in range(S.REACH, n - S.REACH) if n > 2 * S.REACH and marks[i] < min(marks[i - near : i]) and marks[i] <= min(marks[i + 1 : i + S.REACH])]
+        assert S.inner_cuts(text, 0, len(text)) == want
+    monkeypatch.setattr(S, "_word", None)
+    assert S.inner_cuts("a sentence of few words", 0, 23) == []
