@@ -51,5 +51,5 @@ def similar_names(left: DataFrame, right: DataFrame, least_score: float, left_na
     placed = met.withColumns({"_first": first, "_last": last, "_length": length}).where("_first <= _last").withColumn("_at", F.explode(F.sequence("_first", "_last")))
     pieces = placed.select(F.col("_name").alias(left_name), F.col("_other").alias("_n"), "_most", "_i", F.substring("_name", F.col("_at") + 1, F.col("_length")).alias("_text")).distinct()
 
-    pairs = pieces.join(known, ["_n", "_most", "_i", "_text"])
+    pairs = pieces.join(known.hint("merge"), ["_n", "_most", "_i", "_text"])  # exploded, so far larger than its estimate: never broadcast
     return pairs.withColumn("score", fuzzy_score(F.col(left_name), F.col(right_name))).where(F.col("score") >= least_score).select(left_name, right_name, "score").distinct()

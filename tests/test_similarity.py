@@ -59,3 +59,13 @@ def test_no_cross_join(spark):
     names = spark.createDataFrame([("abc",)], "name string")
     plan = similarity.similar_names(names, names.withColumnRenamed("name", "known"), 90)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_keyed_names_are_never_broadcast(spark, tmp_path):
+    names = spark.range(50).selectExpr("md5(cast(id as string)) as name")
+    places = names.selectExpr("name as place_name", "1L as place")
+    near = similarity.similar_names(names, places, 80, right_name="place_name")
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert near.count() == 50
+    found = joins.resolve_entities(names, "name", places, [], 90)
+    assert "Broadcast" not in "".join(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "_text" in line or "_of" in line)
