@@ -119,10 +119,10 @@ def resolve_entities(names: DataFrame, name: str, places: DataFrame, units: list
     """
     n = F.col(name)
     distinct = names.select(name).where(F.length(n) >= least_length).distinct()
-    exact = distinct.join(places.groupBy(F.col("place_name").alias(name)).agg(F.min("place").alias("_p")), name, "left")
+    exact = distinct.join(places.groupBy(F.col("place_name").alias(name)).agg(F.min("place").alias("_p")).hint("merge"), name, "left")
     near = similar_names(exact.where(F.col("_p").isNull()).select(F.col(name).alias("_left")), places, least_score, "_left", "place_name")
     best = near.groupBy(F.col("_left").alias(name)).agg(F.min(F.struct((-F.col("score")).alias("s"), "place_name")).alias("_f"))
-    fuzzy = best.join(places.groupBy(F.col("place_name").alias("_of")).agg(F.min("place").alias("place")), F.col("_f.place_name") == F.col("_of")).select(name, F.struct("_f.s", "place").alias("_f"))
+    fuzzy = best.join(places.groupBy(F.col("place_name").alias("_of")).agg(F.min("place").alias("place")).hint("merge"), F.col("_f.place_name") == F.col("_of")).select(name, F.struct("_f.s", "place").alias("_f"))
     found = exact.join(fuzzy, name, "left").withColumns({"place": F.coalesce("_p", "_f.place"), "level": F.when(F.col("_p").isNotNull(), "exact").when(F.col("_f").isNotNull(), "fuzzy"), "score": F.when(F.col("_p").isNotNull(), 100.0).otherwise(-F.col("_f.s"))}).drop("_p", "_f")
     for level, table in units:
         found = found.join(table.groupBy(F.col("unit_name").alias(name)).agg(F.min("unit").alias("_u")), name, "left")
