@@ -161,3 +161,35 @@ def test_recall_at_the_least_similarity(spark, docs):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs(texts)).collect()}
     assert len(near) > 50 and sum(got[i] == want[i] for i in near) >= 0.95 * len(near)
     assert all(got[i] in (i, want[i]) for i in texts)
+
+
+def test_copies_that_are_just_not_similar_make_few_pairs(spark, docs, monkeypatch):
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(200)]
+    texts = {}
+    for d in range(150):
+        words = list(base)
+        for k in rng.sample(range(200), 4):
+            words[k] = f"d{d}w{k}"
+        texts[d] = " ".join(words)
+    judged, judge = [], simhash.judge
+    monkeypatch.setattr(simhash, "judge", lambda pairs, *rest: judged.append(pairs.count()) or judge(pairs, *rest))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs(texts)).collect()} == plain_similar(texts)
+    assert sum(judged) <= 3 * len(texts)  # of 11,175
+
+
+def test_keys_grow_with_the_rows():
+    for rows in (3_000, 51_282, 256_410, 10**6, 10**7, 10**8):
+        bits = simhash.group_bits(rows)
+        kept = max(m.bit_count() for m in simhash.covering_masks(2, bits))
+        assert rows * 2**simhash.SPARSE / 2 <= 2**kept <= rows * 2**simhash.SPARSE * 4
+
+
+def test_bits_that_may_differ_hold_for_small_sets():
+    rng = np.random.default_rng(4)
+    limits = simhash.most_bits(0.8)
+    for n, m, both in ((4, 5, 4), (9, 9, 8), (12, 15, 12), (13, 14, 12), (90, 90, 80), (500, 500, 445)):
+        for _ in range(100):
+            own = rng.integers(-(2**63), 2**63 - 1, n + m - both)
+            x, y = (simhash.set_prints(np.unique(s), simhash.WIDE).view(np.uint64) for s in (own[:n], own[n - both :]))
+            assert np.bitwise_count(x ^ y).sum() <= limits[min(n, m, simhash.SMALL_SETS)]
