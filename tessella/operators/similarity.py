@@ -13,43 +13,77 @@ def edits(length: Column, least_score: float) -> Column:
     return F.floor(length * ((100 - least_score) / 100) + 1e-9).cast("int")
 
 
-def _segment(length: Column, most: Column, i: Column) -> tuple[Column, Column]:
-    """Start (from 0) and length of the i-th of most + 1 segments of a name: as equal as can be, the later ones longer."""
-    base = F.call_function("div", length, most + 1).cast("int")
-    longer = most + 1 - length % (most + 1)
-    return i * base + F.greatest(F.lit(0), i - longer), base + (i >= longer).cast("int")
+def _bounds(longest: Column, least_score: float) -> tuple[Column, Column]:
+    """Most edits of a pair by the length of its longer name, and the least length of the class that the pair belongs to.
+
+    A class has one bound of edits; classes of few edits, whose lengths differ by much, are halved.
+    """
+    most = edits(longest, least_score)
+    if least_score == 100:
+        return most, longest
+    least = lambda d: F.ceil((d - 1e-9) * (100 / (100 - least_score))).cast("int")
+    middle = F.call_function("div", least(most) + least(most + 1), F.lit(2)).cast("int")
+    first = F.when((most < 3) & (longest >= middle), middle).otherwise(least(most))
+    return most, F.when(most == 0, longest).otherwise(F.least(longest, first))
+
+
+def _keys(names: DataFrame, least_score: float, side: int) -> DataFrame:
+    """_key, _name and _least (of the class) of names: what a name shares with each partner that it may have, see similar_names."""
+    n, most, least, longest = F.col("_n"), F.col("_most"), F.col("_least"), F.col("_longest")
+    classes = names.withColumn("_longest", F.explode(F.sequence(n, (n / (least_score / 100)).cast("int") + 1)))
+    here, before = _bounds(longest, least_score), _bounds(longest - 1, least_score)
+    new = (longest == n) | (here[0] != before[0]) | (here[1] != before[1])
+    classes = classes.where((longest - here[0] <= n) & new).withColumns({"_most": here[0], "_least": here[1]})
+
+    # The first part may lose a letter (from one edit on), the last one too (from three), the ones between none.
+    head, tail = F.least(most, F.lit(1)), (most >= 3).cast("int")
+    count, i = most + 1 - head - tail, F.col("_i")
+    parts = classes.withColumn("_i", F.explode(F.sequence(F.lit(0), count - 1)))
+    letters, spare = F.call_function("div", least - head - tail, count).cast("int"), (least - head - tail) % count
+    cut = F.when(i == 0, head).when(i == count - 1, tail).otherwise(0)
+    ahead = F.when(i == 0, 0).otherwise(i + head)  # edits that fall before the part, if the parts there don't do
+    behind = most - ahead - cut
+    start = i * letters + F.least(i, spare) + F.when(i == 0, 0).otherwise(head)
+    parts = parts.withColumns({"_cut": cut, "_length": letters + (i < spare).cast("int") + cut, "_moved": F.least(ahead, behind), "_at": F.when(ahead <= behind, start).otherwise(n - least + start)})
+
+    # A part between may have moved, in the shorter name; in the longer one it stands at its place. Ends never move.
+    moved, at, length, role = F.col("_moved"), F.col("_at"), F.col("_length"), F.col("_role")
+    roles = F.when(moved == 0, F.array(F.lit(-1))).when(longest == n, F.array(F.lit(side), F.lit(1 - side))).otherwise(F.array(F.lit(1 - side)))
+    reach = F.when(role == side, 0).otherwise(moved)
+    placed = parts.withColumn("_role", F.explode(roles)).withColumn("_at", F.explode(F.sequence(at - reach, at + reach)))
+    from_, to = F.greatest(at, F.lit(0)), F.least(at + length, n)
+    placed = placed.where(to - from_ >= length - F.col("_cut")).withColumn("_text", F.substring("_name", from_ + 1, to - from_))
+
+    # All ways to lose the letter, but of equal letters in a row only the last; a part that is short of one letter has lost it.
+    text, gone = F.col("_text"), F.col("_gone")
+    whole = (F.col("_cut") == 0) | (F.length(text) < length)
+    lost = placed.withColumn("_gone", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), length))))
+    lost = lost.where((gone == 0) | (F.substring(text, gone, F.lit(1)) != F.substring(text, gone + 1, F.lit(1))))
+    left = F.when(gone == 0, text).otherwise(F.concat(F.substring(text, F.lit(1), gone - 1), F.substring(text, gone + 1, length)))
+    return lost.select(F.xxhash64("_most", "_least", "_i", "_role", left).alias("_key"), "_name", "_least")
 
 
 def similar_names(left: DataFrame, right: DataFrame, least_score: float, left_name: str = "name", right_name: str = "known") -> DataFrame:
     """(left_name, right_name, score): all pairs of distinct names whose score is least_score (over 0, at most 100) or more.
 
-    The score is 100 less the edit distance's share of the longer name. A name that takes d edits to become another still
-    holds one of the other's d + 1 segments, moved by no more than the edits around it allow. So each right name is
-    keyed by its segments, for each number of edits that a partner's length may allow, and each left name by its pieces
-    that may be one; pairs that share a key are verified. Names are keyed once, whatever their number of rows; lengths
-    that can't meet never do. A segment that very many names share makes as many pairs, which adaptive execution splits over tasks, as this is a
-    plain inner join. Null and empty names match nothing. Lengths and edits are in characters.
+    The score is 100 less the edit distance's share of the longer name, so the longer name's length sets the most edits d.
+    Names are keyed in each class of lengths that the longer name of a pair may have. In a class, the longer name is
+    cut into parts that may lose letters, one at each end (the last from d = 3 on) and none between, so that the parts and the
+    letters they may lose are d + 1: d edits leave one part with no more edits than that. The ends stand at the ends of the
+    other name too, and share what is left of them when one letter goes; a part between is whole in the other name,
+    moved by no more than the parts on either side allow. Keys are hashes, and pairs that share one are verified by their
+    distance, so none is wrong or lost. Keys are half as many letters as the name up to three edits, a third at four, so few pairs meet by
+    chance. Names are keyed once, whatever their number of rows. A part that very many names share makes as many pairs, which
+    adaptive execution splits over tasks, as this is a plain inner join. Null and empty names match nothing. Lengths and edits
+    are in characters.
     """
     if not 0 < least_score <= 100:
         raise ValueError("least_score is over 0 and at most 100")
-    share = least_score / 100
     names = lambda df, c: df.select(F.col(c).alias("_name")).where("_name <> ''").distinct().withColumn("_n", F.length("_name"))
+    met = _keys(names(left, left_name), least_score, 0).select("_key", F.col("_name").alias(left_name))
+    known = _keys(names(right, right_name), least_score, 1).withColumnRenamed("_name", right_name)
 
-    most_of = F.array_distinct(F.transform(F.filter(F.sequence(F.col("_n"), (F.col("_n") / share).cast("int") + 1), lambda n: n - edits(n, least_score) <= F.col("_n")), lambda n: edits(n, least_score)))
-    known = names(right, right_name).withColumn("_most", F.explode(most_of)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_most"))))
-    start, length = _segment(F.col("_n"), F.col("_most"), F.col("_i"))
-    known = known.select(F.col("_name").alias(right_name), "_n", "_most", "_i", F.substring("_name", start + 1, length).alias("_text"))
-
-    other = F.explode(F.sequence(F.greatest(F.lit(1), F.col("_n") - edits(F.col("_n"), least_score)), (F.col("_n") / share).cast("int") + 1)).alias("_other")
-    met = names(left, left_name).select("_name", F.col("_n").alias("_m"), other).withColumn("_most", edits(F.greatest("_m", "_other"), least_score))
-    met = met.where(F.abs(F.col("_m") - F.col("_other")) <= F.col("_most")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_most"))))
-    start, length = _segment(F.col("_other"), F.col("_most"), F.col("_i"))
-    half = lambda c: F.floor(c / 2).cast("int")
-    longer_by = F.col("_m") - F.col("_other")
-    first = F.greatest(F.lit(0), start - half(F.col("_most") - longer_by))
-    last = F.least(F.col("_m") - length, start + half(F.col("_most") + longer_by))
-    placed = met.withColumns({"_first": first, "_last": last, "_length": length}).where("_first <= _last").withColumn("_at", F.explode(F.sequence("_first", "_last")))
-    pieces = placed.select(F.col("_name").alias(left_name), F.col("_other").alias("_n"), "_most", "_i", F.substring("_name", F.col("_at") + 1, F.col("_length")).alias("_text")).distinct()
-
-    pairs = pieces.join(known.hint("merge"), ["_n", "_most", "_i", "_text"])  # exploded, so far larger than its estimate: never broadcast
+    pairs = met.join(known.hint("merge"), "_key")  # exploded, so far larger than its estimate: never broadcast
+    most, least = _bounds(F.greatest(F.length(left_name), F.length(right_name)), least_score)
+    pairs = pairs.where((least == F.col("_least")) & (F.abs(F.length(left_name) - F.length(right_name)) <= most))
     return pairs.withColumn("score", fuzzy_score(F.col(left_name), F.col(right_name))).where(F.col("score") >= least_score).select(left_name, right_name, "score").distinct()

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import joins, similarity
 
@@ -69,3 +70,33 @@ def test_keyed_names_are_never_broadcast(spark, tmp_path):
     assert near.count() == 50
     found = joins.resolve_entities(names, "name", places, [], 90)
     assert "Broadcast" not in "".join(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "_text" in line or "_of" in line)
+
+
+def test_few_pairs_meet_by_chance(spark, monkeypatch):
+    judged = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(a, b):
+        judged.add(1)
+        return 100 * (1 - distance(a, b) / max(len(a), len(b)))
+
+    monkeypatch.setattr(similarity, "fuzzy_score", score)
+    names = spark.range(16_000).selectExpr("id", "substring(md5(cast(id as string)), 1, cast(12 + id % 9 as int)) as name")
+    near = similarity.similar_names(names.where("id < 8000"), names.where("id >= 8000").withColumnRenamed("name", "known"), 80)
+    assert near.count() == 0
+    assert judged.value < 2000  # of 64 million
+
+
+@pytest.mark.parametrize("score", [60, 80, 90])
+def test_pairs_of_the_most_edits_are_found(spark, score):
+    rng = random.Random(score)
+    pairs = []
+    for n in range(4, 60):
+        for _ in range(6):
+            name = "".join(rng.choice("abcdé") for _ in range(n))
+            pairs.append((edited(name, int(n * (100 - score) / 100), rng), name))
+    df = lambda values, c: spark.createDataFrame([(v,) for v in values], f"{c} string")
+    expected = {(a, b) for a, b in pairs if a and 100 * (1 - distance(a, b) / max(len(a), len(b))) >= score}
+    for left, right, turn in ((0, 1, 1), (1, 0, -1)):
+        got = {(r["name"], r["known"])[::turn] for r in similarity.similar_names(df([p[left] for p in pairs], "name"), df([p[right] for p in pairs], "known"), score).collect()}
+        assert expected <= got and len(expected) > 200
