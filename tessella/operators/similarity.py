@@ -28,7 +28,11 @@ def _bounds(longest: Column, least_score: float) -> tuple[Column, Column]:
 
 
 def _keys(names: DataFrame, least_score: float, side: int) -> DataFrame:
-    """_key, _name and _least (of the class) of names: what a name shares with each partner that it may have, see similar_names."""
+    """_key, _name, _own and _mark of names: what a name shares with each partner that it may have, see similar_names.
+
+    _own: the class is that of the name's own length, so the name may be the longer one. _mark: place and letter that a part
+    has lost, or 0 for one way on side 0, by the name's hash: of all the ways of two equal parts one is enough, and names spread over them.
+    """
     n, most, least, longest = F.col("_n"), F.col("_most"), F.col("_least"), F.col("_longest")
     classes = names.withColumn("_longest", F.explode(F.sequence(n, (n / (least_score / 100)).cast("int") + 1)))
     here, before = _bounds(longest, least_score), _bounds(longest - 1, least_score)
@@ -60,7 +64,10 @@ def _keys(names: DataFrame, least_score: float, side: int) -> DataFrame:
     lost = placed.withColumn("_gone", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), length))))
     lost = lost.where((gone == 0) | (F.substring(text, gone, F.lit(1)) != F.substring(text, gone + 1, F.lit(1))))
     left = F.when(gone == 0, text).otherwise(F.concat(F.substring(text, F.lit(1), gone - 1), F.substring(text, gone + 1, length)))
-    return lost.select(F.xxhash64("_most", "_least", "_i", "_role", left).alias("_key"), "_name", "_least")
+    letter, one = F.substring(text, gone, F.lit(1)), F.pmod(F.hash("_name"), length) + 1
+    chosen = (gone >= one) & (F.substring(text, one, gone - one + 1) == F.repeat(letter, gone - one + 1))
+    mark = F.when((gone == 0) | chosen if side == 0 else gone == 0, 0).otherwise(gone.cast("long") * (1 << 21) + F.ascii(letter))
+    return lost.select(F.xxhash64("_most", "_least", "_i", "_role", left).alias("_key"), "_name", (longest == n).alias("_own"), mark.alias("_mark"))
 
 
 def similar_names(left: DataFrame, right: DataFrame, least_score: float, left_name: str = "name", right_name: str = "known") -> DataFrame:
@@ -80,10 +87,10 @@ def similar_names(left: DataFrame, right: DataFrame, least_score: float, left_na
     if not 0 < least_score <= 100:
         raise ValueError("least_score is over 0 and at most 100")
     names = lambda df, c: df.select(F.col(c).alias("_name")).where("_name <> ''").distinct().withColumn("_n", F.length("_name"))
-    met = _keys(names(left, left_name), least_score, 0).select("_key", F.col("_name").alias(left_name))
-    known = _keys(names(right, right_name), least_score, 1).withColumnRenamed("_name", right_name)
+    met, known = _keys(names(left, left_name), least_score, 0).alias("l"), _keys(names(right, right_name), least_score, 1).alias("r")
+    a, b = F.col("l._name"), F.col("r._name")
 
     pairs = met.join(known.hint("merge"), "_key")  # exploded, so far larger than its estimate: never broadcast
-    most, least = _bounds(F.greatest(F.length(left_name), F.length(right_name)), least_score)
-    pairs = pairs.where((least == F.col("_least")) & (F.abs(F.length(left_name) - F.length(right_name)) <= most))
-    return pairs.withColumn("score", fuzzy_score(F.col(left_name), F.col(right_name))).where(F.col("score") >= least_score).select(left_name, right_name, "score").distinct()
+    # One condition, so that it is judged in this order and distances come last.
+    pairs = pairs.where((F.col("l._own") | F.col("r._own")) & ((F.col("l._mark") == 0) | (F.col("l._mark") != F.col("r._mark"))) & (fuzzy_score(a, b) >= least_score))
+    return pairs.select(a.alias(left_name), b.alias(right_name), fuzzy_score(a, b).alias("score")).distinct()

@@ -100,3 +100,17 @@ def test_pairs_of_the_most_edits_are_found(spark, score):
     for left, right, turn in ((0, 1, 1), (1, 0, -1)):
         got = {(r["name"], r["known"])[::turn] for r in similarity.similar_names(df([p[left] for p in pairs], "name"), df([p[right] for p in pairs], "known"), score).collect()}
         assert expected <= got and len(expected) > 200
+
+
+def test_equal_beginnings_are_judged_once(spark, monkeypatch):
+    judged = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(a, b):
+        judged.add(1)
+        return 100.0 if a == b else 0.0
+
+    monkeypatch.setattr(similarity, "fuzzy_score", score)
+    names = spark.range(200).selectExpr("'prefecture ' || substring(md5(cast(id as string)), 1, 10) as name")
+    assert similarity.similar_names(names, names.withColumnRenamed("name", "known"), 80).count() == 200
+    assert judged.value < 1.5 * 200 * 200
